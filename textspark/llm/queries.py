@@ -1,0 +1,20 @@
+"""Queries of this subpackage: each applies an operator to its whole table."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from . import bpe, jaccard
+from .common import table
+
+
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
+
+
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op4_ngram_jaccard_join, op7_byte_bpe)}
+ORACLE_SQL: dict[str, str] = {}
