@@ -4,17 +4,33 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, jaccard
+from . import bpe, decontaminate, jaccard, line_rules, pii, sharding
 from .common import table
 
 
+def op2_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_spans(table(spark, sf_dir, "documents"))
+
+
+def op3_benchmark_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
 
 
+def op5_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"), shards=16)
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_ngram_jaccard_join, op7_byte_bpe)}
+def op8_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_rules.apply_rules(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_private_data, op3_benchmark_templates, op4_ngram_jaccard_join, op5_bounded_ring, op7_byte_bpe, op8_line_frequency)}
 ORACLE_SQL: dict[str, str] = {}
