@@ -21,71 +21,37 @@ def labelled_sample(labels: DataFrame, label: str, rows: int, where: str | None
     return found.groupBy("doc_id").agg(F.min(label).cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
 
 
-class Sparse:
-    """Rows of feature numbers, as flat arrays."""
-
-    def __init__(self, rows: list[np.ndarray]):
-        self.index = np.concatenate(rows).astype(np.int64) if rows else np.empty(0, np.int64)
-        self.start = np.r_[0, np.cumsum([len(r) for r in rows])].astype(np.int64)
-
-    def take(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        n = self.start[which + 1] - self.start[which]
-        row = np.repeat(np.arange(len(which)), n)
-        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.start[which], n)
-        return row, self.index[at]
-
-    def scores(self, w: np.ndarray, which: np.ndarray) -> np.ndarray:
-        row, index = self.take(which)
-        return np.bincount(row, w[index], len(which))
-
-
-def fit_sparse(rows: list[np.ndarray], y: np.ndarray, size: int, twins: list[tuple[np.ndarray, np.ndarray]] = (), penalty: float = 1.0, l1: float = 2e-4, l2: float = 1e-4, epochs: int = 12, rate: float = 0.1, batch: int = 256, seed: int = 7) -> tuple[np.ndarray, float]:
-    """Logistic regression on binary features by proximal Adagrad; class weights are balanced up to 3.
-
-    ``twins`` are pairs of the same text with identity terms swapped; each
-    adds ``penalty * (score(a) - score(b)) ** 2`` to the loss.
+def chosen_features(rows: list[np.ndarray], y: np.ndarray, size: int, least_z: float, most: int) -> np.ndarray:
+    """Features whose share differs between the classes by ``least_z`` standard errors; at most ``most``, strongest first."""
+    count = [np.bincount(np.concatenate([r for r, v in zip(rows, y, strict=True) if v == c] or [np.empty(0, np.int64)]).astype(np.int64), minlength=size) for c in (0, 1)]
+    n0, n1 = max(1, int((y == 0).sum())), max(1, int((y == 1).sum()))
+    share = (count[0] + count[1]) / (n0 + n1)
+    error = np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n0 + 1 / n1))
+    z = np.abs(count[1] / n1 - count[0] / n0) / error
+    best = np.argsort(-z, kind="stable")[:most]
+    return best[z[best] >= least_z]
+
+
+def fit_dense(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, steps: int = 60, differences: np.ndarray | None = None, penalty: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Logistic regression by Newton steps: means, scales, weights, bias.
+
+    Each row of ``differences``, the features of one text less those of its
+    counterfactual, adds ``penalty * len(x) / len(differences)`` times its
+    squared score to the loss.
     """
-    x, w, g2 = Sparse(rows), np.zeros(size), np.full(size, 1e-6)
-    b, b2 = 0.0, 1e-6
-    rng = np.random.default_rng(seed)
-    weight = np.where(y == 1, min(3.0, max(1.0, (len(y) - y.sum()) / max(1, y.sum()))), 1.0)
-    left, right = Sparse([t[0] for t in twins]), Sparse([t[1] for t in twins])
-    for _ in range(epochs):
-        order = rng.permutation(len(y))
-        for lo in range(0, len(order), batch):
-            some = order[lo : lo + batch]
-            row, index = x.take(some)
-            e = (sigmoid(np.bincount(row, w[index], len(some)) + b) - y[some]) * weight[some] / len(some)
-            g = np.bincount(index, e[row], size)
-            if len(twins):
-                t = rng.integers(0, len(twins), min(batch, len(twins)))
-                d = 2 * penalty * (left.scores(w, t) - right.scores(w, t)) / len(t)
-                for part, sign in ((left, 1), (right, -1)):
-                    r, i = part.take(t)
-                    g += np.bincount(i, sign * d[r], size)
-            g += l2 * w
-            on = g != 0
-            g2[on] += g[on] ** 2
-            step = rate / np.sqrt(g2[on])
-            v = w[on] - step * g[on]
-            w[on] = np.sign(v) * np.maximum(np.abs(v) - step * l1, 0)
-            s = e.sum()
-            b2 += s * s
-            b -= rate * s / np.sqrt(b2)
-    return w, float(b)
-
-
-def fit_dense(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, steps: int = 60) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Logistic regression by Newton steps: means, scales, weights, bias."""
     mean, scale = x.mean(0), x.std(0) + 1e-9
     z = np.c_[(x - mean) / scale, np.ones(len(x))]
     w = np.zeros(z.shape[1])
     ridge = np.full(len(w), l2 * len(z))
     ridge[-1] = 1e-6
+    pull = np.diag(ridge)
+    if differences is not None and len(differences):
+        d = np.c_[differences / scale, np.zeros(len(differences))]
+        pull = pull + 2 * penalty * len(z) / len(d) * d.T @ d
     for _ in range(steps):
         p = sigmoid(z @ w)
-        h = (z * (p * (1 - p) + 1e-6)[:, None]).T @ z + np.diag(ridge)
-        step = np.linalg.solve(h, z.T @ (p - y) + ridge * w)
+        h = (z * (p * (1 - p) + 1e-6)[:, None]).T @ z + pull
+        step = np.linalg.solve(h, z.T @ (p - y) + pull @ w)
         w -= step
         if np.abs(step).max() < 1e-8:
             break

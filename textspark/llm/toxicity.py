@@ -1,6 +1,6 @@
 """Toxicity by a counterfactual-regularised classifier.
 
-A logistic regression on hashed words. For every labelled sentence with an
+A logistic regression on hashed words that tell the classes apart. For every labelled sentence with an
 identity term, the term is swapped for others of its group; a difference
 between the scores of the two sentences is penalised. A group's mention then
 moves the score no more than any other group's, and neutral mentions are not
@@ -17,13 +17,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .linear import fit_sparse, labelled_sample, sigmoid
+from .linear import chosen_features, fit_dense, labelled_sample, sigmoid
 
 BUCKETS = 1 << 18
 #: Most labelled rows that the model is fitted on.
 SAMPLE = 20_000
 #: Most swapped sentences in the penalty, of the sample's documents in hash order.
-TWINS = 20_000
+TWINS = 5_000
+#: Least difference of a word's share between the classes, in standard errors, and most words so chosen.
+LEAST_Z = 5.0
+FEATURES = 384
 #: Labels of this remainder of crc32(doc_id as text) by 5 are held out.
 HELD_OUT = 0
 #: Groups of identity terms; a term is swapped for others of its group.
@@ -86,17 +89,38 @@ def _sampled(batches):
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array([features(t).tobytes() for t in b.column(1).to_pylist()], pa.binary()), pa.array(a, pa.list_(pa.binary())), pa.array(c, pa.list_(pa.binary())), b.column(2)], ["doc_id", "x", "a", "b", "label"])
 
 
+def copy_key(x: np.ndarray) -> bytes:
+    """The three buckets of the smallest hash: the same for most near copies of a text."""
+    return np.sort(x * np.uint32(0x9E3779B1))[:3].tobytes()
+
+
+def train(rows: list[np.ndarray], y: np.ndarray, twins: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, float]:
+    """Weights of all buckets and the bias; buckets that do not tell the classes apart weigh 0.
+
+    Identity terms always have a weight, so that the penalty, not their
+    absence, keeps them neutral.
+    """
+    first = {(copy_key(x), v): i for i, (x, v) in reversed(list(enumerate(zip(rows, y, strict=True))))}
+    some = sorted(first.values())
+    rows, y = [rows[i] for i in some], y[some]
+    w = np.zeros(BUCKETS)
+    if not 0 < y.sum() < len(y):
+        return w, 3.0 if len(y) and y[0] else -3.0 if len(y) else 0.0
+    own = np.union1d(chosen_features(rows, y, BUCKETS, LEAST_Z, FEATURES), word_features(GROUP)) if twins else np.sort(chosen_features(rows, y, BUCKETS, LEAST_Z, FEATURES))
+    dense = lambda xs: np.array([np.isin(own, x, assume_unique=True) for x in xs], float).reshape(len(xs), len(own))
+    differences = dense([a for a, _ in twins]) - dense([b for _, b in twins]) if twins else None
+    mean, scale, v, bias = fit_dense(dense(rows), y, differences=differences)
+    w[own.astype(np.int64)] = v / scale
+    return w, bias - float((v * mean / scale).sum())
+
+
 def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float]:
     """Weights and bias, from at most ``sample`` labelled documents outside the held-out fold. No labels give a score of 0.5."""
     chosen = labelled_sample(labels, "toxic", sample, f"crc32(cast(doc_id as string)) % 5 <> {HELD_OUT}")
     rows = documents.where("text is not null").select(F.col("doc_id"), "text").join(F.broadcast(chosen), "doc_id").mapInArrow(_sampled, "doc_id long, x binary, a array<binary>, b array<binary>, label int").collect()
-    rows.sort(key=lambda r: (r.doc_id, r.x))
-    if not rows:
-        return np.zeros(BUCKETS), 0.0
-    seen = {(bytes(r.x), r.label): r for r in rows}  # copies count once
-    rows = list(seen.values())
+    rows.sort(key=lambda r: (r.doc_id, bytes(r.x)))
     twins = [(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)) for r in rows for x, y in zip(r.a, r.b, strict=True)][:TWINS]
-    return fit_sparse([np.frombuffer(r.x, np.uint32) for r in rows], np.array([r.label for r in rows], float), BUCKETS, twins)
+    return train([np.frombuffer(r.x, np.uint32) for r in rows], np.array([r.label for r in rows], float), twins)
 
 
 def score(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
