@@ -4,20 +4,43 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textspark.llm import bpe, jaccard
+from textspark.llm import bpe, decontaminate, jaccard, pii, quality
 from textspark.llm.common import saved, table
 
 
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject."""
+    return quality.good(docs, table(spark, sf_dir, "labels"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group at five words and a similarity of 0.8."""
     return jaccard.one_of_each(docs, n=5, num=80, den=100)
 
 
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item, whatever values its slots have."""
+    return decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def without_private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data and the terms that reveal it replaced."""
+    return pii.sanitised(docs)
+
+
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of every document that is left."""
     return bpe.round_trip(docs)
 
 
-STAGES = [("near_duplicates", near_duplicates), ("tokens", tokens)]
+STAGES = [
+    ("good_quality", good_quality),
+    ("near_duplicates", near_duplicates),
+    ("without_benchmark", without_benchmark),
+    ("without_private_data", without_private_data),
+    ("tokens", tokens),
+]
+#: The classifier and the tokenizer cannot be put in SQL; tests/llm tests the stages.
 ORACLE_SQL = None
 
 

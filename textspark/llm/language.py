@@ -120,7 +120,7 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[str], epochs:
     logits = e @ w
     test = hold if n_hold else learn
     z = np.array([(logits[i] * (c / c.sum())[:, None]).sum(0) + bias for i, c in (bags[k] for k in test)])
-    temperatures = [0.02, 0.05, 0.1, 0.2, 0.35, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0]
+    temperatures = [0.35, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0]
     loss = [-np.log(softmax(z / t)[np.arange(len(test)), y[test]] + 1e-9).mean() for t in temperatures]
     best = temperatures[int(np.argmin(loss))]
     p = softmax(z / best)

@@ -10,6 +10,7 @@ taken for toxic because toxic ones are frequent.
 from __future__ import annotations
 
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,8 @@ TWINS = 5_000
 #: Least difference of a word's share between the classes, in standard errors, and most words so chosen.
 LEAST_Z = 5.0
 FEATURES = 384
+#: Lengths of the beginnings of words that are features: insults of inflected languages share stems.
+BEGINNINGS = range(3, 9)
 #: Labels of this remainder of crc32(doc_id as text) by 5 are held out.
 HELD_OUT = 0
 #: Groups of identity terms; a term is swapped for others of its group.
@@ -45,13 +48,19 @@ WORDS = re.compile(r"[^\W\d_]+").findall
 SENTENCES = re.compile(r"(?<=[.!?])\s+|\n").split
 
 
+def _bucket(feature: str) -> int:
+    return xxhash.xxh32_intdigest(feature.encode("utf-8", "replace")) % BUCKETS
+
+
 class Buckets(dict):
-    LIMIT = 500_000
+    """Per word the buckets of itself and of its beginnings."""
+
+    LIMIT = 300_000
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: str) -> tuple[int, ...]:
         if len(self) >= self.LIMIT:
             self.clear()
-        b = self[word] = xxhash.xxh32_intdigest(word.encode("utf-8", "replace")) % BUCKETS
+        b = self[word] = (_bucket(word), *[_bucket(f"^{word[:k]}") for k in BEGINNINGS if len(word) >= k])
         return b
 
 
@@ -59,11 +68,11 @@ _buckets = Buckets()
 
 
 def word_features(words) -> np.ndarray:
-    return np.unique(np.fromiter(map(_buckets.__getitem__, words), np.uint32))
+    return np.unique(np.fromiter(chain.from_iterable(map(_buckets.__getitem__, words)), np.uint32))
 
 
 def features(text: str | None) -> np.ndarray:
-    """Buckets of the distinct words of a whole text."""
+    """Buckets of the distinct words of a whole text, and of their beginnings."""
     return word_features(set(WORDS(text.lower()))) if text else np.empty(0, np.uint32)
 
 
