@@ -287,8 +287,14 @@ def line_text(fields: Column, o: CsvWriteOptions = CsvWriteOptions()) -> Column:
 
 
 def numbered(df: DataFrame, order: list[str]) -> DataFrame:
-    """``df`` with row_index from 0 in an order: sorted by range, counted by partition, numbered within each."""
+    """``df`` with row_index from 0 in an order: sorted by range, counted by partition, numbered within each.
+
+    The sorted rows are read twice and must be the same both times, so they
+    are checkpointed where the session has a folder for it and persisted where
+    it has none.
+    """
     spread = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    spread = spread.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else spread.persist()
     before = spread.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_part", "_before")
     inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
     return spread.withColumn("row_index", inside.cast("long") - 1).join(F.broadcast(before), "_part").withColumn("row_index", F.col("row_index") + F.col("_before")).drop("_part", "_before")
