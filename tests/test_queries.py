@@ -1,0 +1,46 @@
+"""Every registered query of the library against its SQL in DuckDB, on the smallest tables."""
+
+import duckdb
+import pandas as pd
+import pytest
+
+from textspark.plans.queries import QUERIES, SQL
+
+SF = "/root/testdata/sf0.001"
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+@pytest.fixture(scope="module")
+def duck():
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
+    return con
+
+
+def plain(v):
+    if hasattr(v, "__len__") and not isinstance(v, str):
+        return repr([plain(x) for x in v])
+    if v is None or pd.isna(v):
+        return "NULL"
+    return v if isinstance(v, str) else str(v).removesuffix(".0")
+
+
+def rows(df):
+    return sorted(tuple(map(plain, r)) for r in df[sorted(df.columns)].itertuples(index=False))
+
+
+def test_every_query_has_sql():
+    assert set(SQL) == set(QUERIES)
+
+
+@pytest.mark.parametrize("name", QUERIES)
+def test_query(spark, duck, name):
+    got, want = QUERIES[name](spark, SF).toPandas(), duck.execute(SQL[name]).df()
+    assert sorted(got.columns) == sorted(want.columns)
+    assert rows(got) == rows(want)
+
+
+def test_flagship_stays_in_the_jvm(spark):
+    plan = QUERIES["flagship"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "props" in plan and "ts" not in plan.split("ReadSchema")[1].split(">")[0].replace("props", "").split("event_type")[0]

@@ -46,9 +46,9 @@ def parsed(kind: str, text: str) -> tuple[bool, str | None, str | None]:
         return False, None, e.code
 
 
-def parse_chunks(chunks: DataFrame, kind: str = "json", timeout: str = "1 hour") -> DataFrame:
-    """A stream of results from a stream of chunks."""
-    milliseconds = int(pd.Timedelta(timeout).total_seconds() * 1000)
+def parse_chunks(chunks: DataFrame, kind: str = "json", timeout: str | None = "1 hour") -> DataFrame:
+    """A stream of results from a stream of chunks. Without a timeout unfinished documents are kept; bounded runs (availableNow) need that to end."""
+    milliseconds = int(pd.Timedelta(timeout).total_seconds() * 1000) if timeout else 0
 
     def step(key, frames, state):
         (doc,) = key
@@ -69,10 +69,11 @@ def parse_chunks(chunks: DataFrame, kind: str = "json", timeout: str = "1 hour")
             yield pd.DataFrame({"doc_id": [doc], "ok": [ok], "value": [value], "code": [code]})
         else:
             state.update((list(have.values()), list(have), last))
-            state.setTimeoutDuration(milliseconds)
+            if milliseconds:
+                state.setTimeoutDuration(milliseconds)
 
     rows = chunks.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("chunk_no").cast("int").alias("chunk_no"), "text", "is_last")
-    return rows.groupBy("doc_id").applyInPandasWithState(step, RESULT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return rows.groupBy("doc_id").applyInPandasWithState(step, RESULT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout if milliseconds else GroupStateTimeout.NoTimeout)
 
 
 def parse_chunks_batch(chunks: DataFrame, kind: str = "json") -> DataFrame:
