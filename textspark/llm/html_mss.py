@@ -47,8 +47,6 @@ CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr"
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 TAG = re.compile(r"</?([a-zA-Z][^\s/>\x00]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
 NAMES = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
-#: What an element that is left out of the region anyway takes from its sum, whatever its length.
-APART_COST = 0.5
 PARTS = re.compile(r"[a-z]+")
 SPREAD = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 
@@ -243,11 +241,13 @@ def main_blocks(page: str) -> list[str]:
     best = total = 0.0
     best_range, start = (0, 0), 0
     for i, b in enumerate(found):
+        if b.apart:
+            continue  # it is left out of any region and so costs none anything
         lo = sum(odds.get(f, 0.0) for f in features(b, has))
         total += sum(cost.get(t, other) for t in b.tags[-6:]) if i > start else 0.0
         if total < 0:
             total, start = 0.0, i
-        total += -APART_COST if b.apart else b.words * math.tanh(lo / 2)
+        total += b.words * math.tanh(lo / 2)
         if total <= 0:
             total, start = 0.0, i + 1
         elif total >= best:
