@@ -39,7 +39,7 @@ def fit_dense(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, steps: int = 60, d
     counterfactual, adds ``penalty * len(x) / len(differences)`` times its
     squared score to the loss.
     """
-    mean, scale = x.mean(0), x.std(0) + 1e-9
+    mean, scale = x.mean(0), np.where(x.std(0) < 1e-6, 1.0, x.std(0))
     z = np.c_[(x - mean) / scale, np.ones(len(x))]
     w = np.zeros(z.shape[1])
     ridge = np.full(len(w), l2 * len(z))
