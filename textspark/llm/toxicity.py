@@ -28,6 +28,8 @@ TWINS = 5_000
 #: Least difference of a word's share between the classes, in standard errors, and most words so chosen.
 LEAST_Z = 5.0
 FEATURES = 384
+#: Hashes in the key by which near copies among the labelled texts count once.
+COPY_KEY = 8
 #: Lengths of the beginnings of words that are features: insults of inflected languages share stems.
 BEGINNINGS = range(3, 9)
 #: Labels of this remainder of crc32(doc_id as text) by 5 are held out.
@@ -99,8 +101,8 @@ def _sampled(batches):
 
 
 def copy_key(x: np.ndarray) -> bytes:
-    """The three buckets of the smallest hash: the same for most near copies of a text."""
-    return np.sort(x * np.uint32(0x9E3779B1))[:3].tobytes()
+    """The buckets of the smallest hashes: the same for most near copies of a text, and enough to hold rare words of it."""
+    return np.sort(x * np.uint32(0x9E3779B1))[:COPY_KEY].tobytes()
 
 
 def train(rows: list[np.ndarray], y: np.ndarray, twins: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, float]:
