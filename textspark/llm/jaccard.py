@@ -31,6 +31,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +41,8 @@ RATIO = 1.5
 #: Members in one block of the last step; two blocks meet in a task.
 BLOCK = 1024
 MAX_BAND = 80
+#: Tile keys that a task gathers before it passes them on.
+KEYS = 250_000
 
 
 @dataclass(frozen=True)
@@ -146,30 +149,36 @@ def _features(n: int):
 def _tiles(n: int, bands: Bands):
     def run(batches):
         for b in batches:
-            ids, keys, lens = [], [], []
+            ids, keys, held = [], [], 0
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 k = tile_keys(shingle_set(t, n), bands)
                 if len(k):
                     ids.append(i)
                     keys.append(k)
-                    lens.append(len(k))
-            if not keys:
-                continue
-            key, doc = np.concatenate(keys), np.repeat(np.array(ids, np.int64), lens)
-            order = np.lexsort((doc, key))
-            key, doc = key[order], doc[order]
-            keep = np.r_[True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])]
-            key, doc = key[keep], doc[keep]
-            first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            ends = np.r_[first[1:], len(key)]
-            one = ends - first == 1
-            lists = pa.ListArray.from_arrays(pa.array(np.r_[first, len(key)].astype(np.int32)), pa.array(doc))
-            more = pa.compute.if_else(pa.array(one), pa.scalar(None, lists.type), lists)
-            yield pa.RecordBatch.from_arrays([pa.array(key[first]), pa.array(doc[first]), more], ["tile", "doc_id", "more"])
+                    held += len(k)
+                if held >= KEYS:
+                    yield _gathered(ids, keys)
+                    ids, keys, held = [], [], 0
+            if keys:
+                yield _gathered(ids, keys)
 
     return run
 
 
+def _gathered(ids: list[int], keys: list[np.ndarray]) -> pa.RecordBatch:
+    """One row for each tile: its first document and, where there are more, all of them."""
+    key, doc = np.concatenate(keys), np.repeat(np.array(ids, np.int64), list(map(len, keys)))
+    order = np.lexsort((doc, key))
+    key, doc = key[order], doc[order]
+    keep = np.r_[True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])]
+    key, doc = key[keep], doc[keep]
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    one = np.r_[first[1:], len(key)] - first == 1
+    lists = pa.ListArray.from_arrays(pa.array(np.r_[first, len(key)].astype(np.int32)), pa.array(doc))
+    more = pa.compute.if_else(pa.array(one), pa.scalar(None, lists.type), lists)
+    return pa.RecordBatch.from_arrays([pa.array(key[first]), pa.array(doc[first]), more], ["tile", "doc_id", "more"])
+
+
 def _shared(batches):
     """Of rows sorted by tile: the members of tiles with two or more, as a stream.
 
