@@ -17,6 +17,10 @@ def test_nulls_and_errors(spark):
     assert [x.k for x in r] == [None, None, None, "object"] and r[3].p == "2"
     y = df.select("i", TY.is_valid("t").alias("v"), TY.to_json_result(F.lit("a: *x"))["error"]["code"].alias("c")).orderBy("i").collect()
     assert [x.v for x in y] == [None, True, False, True] and y[0].c == "E_INVALID"
+    from textspark.core import YamlParseOptions
+
+    w = spark.range(1).select(TY.warnings(F.lit("a: 1\na: 2"), YamlParseOptions(dupkeys="LAST_WINS")).alias("w")).first().w
+    assert [x.code for x in w] == ["DUPKEY"]
 
 
 def test_sql_names(spark):

@@ -47,6 +47,11 @@ def has_merge_keys(text, options: YamlParseOptions = YamlParseOptions()) -> Colu
     return strict("boolean", lambda t: Y.parse(t, options).has_merge_keys, text)["value"]
 
 
+def warnings(text, options: YamlParseOptions = YamlParseOptions()) -> Column:
+    """array<struct<code, message>> of the first document's warnings."""
+    return strict("array<struct<code:string,message:string>>", lambda t: [{"code": c, "message": m} for c, m in Y.parse(t, options).warnings], text)["value"]
+
+
 def _node(value_type: str, of):
     def get(text, pointer: str | Column = "", options: YamlParseOptions = YamlParseOptions()) -> Column:
         def run(t, p):

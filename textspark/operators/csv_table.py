@@ -73,7 +73,8 @@ class CsvTable:
         return at[0] if at else _invalid(f"no header {name!r}")
 
     def header_index_next(self, name: str, after: int) -> int:
-        return next((i for i, h in enumerate(self.header or ()) if h == name and i > after), None) if name in (self.header or ()) and any(h == name and i > after for i, h in enumerate(self.header)) else _invalid(f"no further header {name!r}")
+        found = next((i for i, h in enumerate(self.header or ()) if h == name and i > after), None)
+        return _invalid(f"no further header {name!r}") if found is None else found
 
     def _widths(self):
         return self.rows.agg(F.min(F.size("fields")), F.max(F.size("fields")), F.count("*"), F.min_by(F.size("fields"), "row_index")).first()
