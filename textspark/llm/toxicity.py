@@ -22,7 +22,7 @@ from .linear import chosen_features, fit_dense, labelled_sample, sigmoid
 
 BUCKETS = 1 << 18
 #: Most labelled rows that the model is fitted on.
-SAMPLE = 20_000
+SAMPLE = 8_000
 #: Most swapped sentences in the penalty, of the sample's documents in hash order.
 TWINS = 5_000
 #: Least difference of a word's share between the classes, in standard errors, and most words so chosen.
