@@ -124,6 +124,8 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{margin:0}</style><
     ("<article><h1>Head</h1><p><b>First of   all &amp; more&lt;<br><p>One.</p><ul><li>a b c</li></ul><p>Last</p></article>", "Head\nFirst of all & more<\nOne.\na b c\nLast"),
     ("<div class=content><h1>Big news &eacute;</h1><p>First para of the article is here with a lot of words in it.<p>Second one. <script>x<y</script>Ok <!-- no --> then.<div class='advertisement'>Buy this now</div><p>End.</div><div class=sidebar><ul><li><a href=1>Link</a></ul></div><div id=comments><p>I really love this article and want to say so.</p></div>",
      "Big news é\nFirst para of the article is here with a lot of words in it.\nSecond one. Ok then.\nEnd."),
+    ("<div class='main has-sidebar'><div class='content-sidebar-wrap'><h1 class='page-header'>Title of it</h1><p>The first paragraph has enough words to be one of the text.</p><p>So has the second paragraph, which is here as well.</p></div><div class='sidebar-left'><p>Links and more links of all kinds are here.</p></div></div>",
+     "Title of it\nThe first paragraph has enough words to be one of the text.\nSo has the second paragraph, which is here as well."),
     ("<main><p>Text &notin; x &#x41;&#66; &unknown; &nbsp; end of it.</p><form>Mail <input></form><aside><p>Related things that are long enough to look like text.</p></aside><p>More.</p></main>", "Text ∉ x AB &unknown; end of it.\nMore."),
 ])
 def test_main_text(spark, body, expected):

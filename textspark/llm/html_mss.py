@@ -41,6 +41,11 @@ APART_NAMES = frozenset("""
     related recommended recommendations recommend more-links trending popular share sharing shares social follow newsletter subscribe subscription signup login register search
     widget widgets toolbar tools tags tagcloud byline meta metadata author-bio print
 """.split())
+#: First words of names that only tell of such elements, and last words of names of the page's layout.
+NEGATING = frozenset("no has with without not hide show after before".split())
+LAYOUT = frozenset("wrap wrapper container layout page content main article body story post".split())
+#: Elements that hold the page or its article, whatever their class.
+WHOLE = frozenset(("html", "body", "main", "article"))
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 #: Start tags that end an open element of the same group.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -51,21 +56,29 @@ PARTS = re.compile(r"[a-z]+")
 SPREAD = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 
 
-def names_of(attributes: str) -> tuple[set[str], str, bool]:
-    """Words of class and id, the role, whether the element is hidden."""
-    words, role, hidden = set(), "", False
+@lru_cache(maxsize=20_000)
+def apart_name(name: str) -> bool:
+    """Whether a class or id marks boilerplate: by its last word, or its first if its last is no part of the layout."""
+    words = PARTS.findall(SPREAD.sub(" ", name).lower())
+    if not words or words[0] in NEGATING:
+        return False
+    return words[-1] in APART_NAMES or words[0] in APART_NAMES and words[-1] not in LAYOUT
+
+
+def marks_of(attributes: str) -> tuple[bool, bool]:
+    """Whether class, id or role mark boilerplate, and whether the element is hidden."""
+    apart = hidden = False
     for k, a, b, c in NAMES.findall(attributes):
         k, v = k.lower(), a or b or c
         if k in ("class", "id"):
-            for name in v.split():
-                words.update(PARTS.findall(SPREAD.sub(" ", name).lower()))
+            apart = apart or any(map(apart_name, v.split()))
         elif k == "role":
-            role = v.strip().lower()
+            apart = apart or v.strip().lower() in APART_ROLES
         elif k == "hidden" or k == "aria-hidden" and v.lower() == "true":
             hidden = True
         elif k == "style" and re.search(r"display\s*:\s*none", v, re.I):
             hidden = True
-    return words, role, hidden
+    return apart, hidden
 
 
 class Block:
@@ -156,9 +169,8 @@ def blocks_of(page: str) -> tuple[list[Block], list[str]]:
                     break
         if name in VOID or m[2].endswith("/") and name in INLINE:
             continue
-        words, role, hidden = names_of(m[2]) if m[2] else ((), "", False)
-        outer = name not in ("html", "body", "main", "article")
-        a = name in APART and not (name == "header" and article) or outer and (role in APART_ROLES or not APART_NAMES.isdisjoint(words))
+        marked, hidden = marks_of(m[2]) if m[2] else (False, False)
+        a = name in APART and not (name == "header" and article) or marked and name not in WHOLE and name not in HEADINGS
         s = name in SILENT or hidden
         stack.append((name, a, s))
         apart += a
