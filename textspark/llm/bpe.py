@@ -29,6 +29,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .common import focus, keeps
+
 #: Byte strings up to this length are merged directly.
 LEAF = 4
 #: Short byte strings whose merges a worker keeps.
@@ -51,6 +53,11 @@ class ByteBpe:
         self._merged: dict[bytes, list[int]] = {}
         self._chunks: dict[str, tuple[tuple[int, ...], str]] = {}
 
+    def clear(self) -> None:
+        """Drops what has been kept; the vocabulary stays."""
+        for kept in (self._chunks, self._merged, self._pairs):
+            kept.clear()
+
     @classmethod
     def load(cls, path: str, pattern: str) -> ByteBpe:
         with open(path, "rb") as f:
@@ -181,7 +188,9 @@ class ByteBpe:
 
 @lru_cache(maxsize=4)
 def loaded(path: str, pattern: str) -> ByteBpe:
-    return ByteBpe.load(path, pattern)
+    found = ByteBpe.load(path, pattern)
+    keeps("bpe", found)
+    return found
 
 
 def default_vocabulary() -> tuple[str, str]:
@@ -192,6 +201,7 @@ def default_vocabulary() -> tuple[str, str]:
 
 def _encoded(path: str | None, pattern: str | None):
     def run(batches):
+        focus("bpe")
         where = (path, pattern) if path else default_vocabulary()
         bpe = loaded(*where)
         for b in batches:
@@ -217,6 +227,7 @@ def decode(encoded: DataFrame, path: str | None = None, pattern: str | None = No
     """doc_id and data (the bytes) of ``encode``'s rows; null ids give no bytes."""
 
     def run(batches):
+        focus("bpe")
         bpe = loaded(*((path, pattern) if path else default_vocabulary()))
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([bpe.decode(x or []) for x in b.column(1).to_pylist()], pa.binary())], ["doc_id", "data"])
@@ -228,6 +239,7 @@ def round_trip(documents: DataFrame, path: str | None = None, pattern: str | Non
     """doc_id, n_tokens, ids_sha256, decoded_sha256, encoded and decoded in one pass over the texts."""
 
     def run(batches):
+        focus("bpe")
         bpe = loaded(*((path, pattern) if path else default_vocabulary()))
         for b in batches:
             counts, ids_sha, data_sha = [], [], []

@@ -69,10 +69,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: What each operator keeps in a Python worker between tasks; anything with ``clear``.
+_kept: dict[str, list] = {}
+
+
+def keeps(operator: str, *caches) -> None:
+    _kept.setdefault(operator, []).extend(caches)
+
+
+def focus(operator: str) -> None:
+    """Drops what other operators have kept in this worker, so that a pipeline's memory is that of one stage."""
+    for name, caches in _kept.items():
+        if name != operator:
+            for c in caches:
+                c.clear()
+
+
 class WordHashes(dict):
     """64-bit hashes of byte strings, kept while the vocabulary is small."""
 
-    LIMIT = 1_000_000
+    LIMIT = 300_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:
@@ -97,6 +113,7 @@ def window_hashes(h: np.ndarray, n: int) -> np.ndarray:
 
 
 _cache = WordHashes()
+keeps("words", _cache)
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, sized, window_hashes
+from .common import focus, keeps, saved, sized, window_hashes
 
 #: Template words in a window.
 WINDOW = 8
@@ -54,7 +54,7 @@ class Words(dict):
     Forms are 0 (marks alone), NUM, UNIT or a hash of the lower-cased word.
     """
 
-    LIMIT = 500_000
+    LIMIT = 300_000
 
     def __missing__(self, word: str) -> int:
         if len(self) >= self.LIMIT:
@@ -75,6 +75,7 @@ class Words(dict):
 
 
 _words = Words()
+keeps("templates", _words)
 
 
 def template(text: str | None) -> tuple[list[str], np.ndarray]:
@@ -185,6 +186,7 @@ def _scanned(documents: DataFrame, rows: list[tuple[int, str]]) -> DataFrame:
     held = documents.sparkSession.sparkContext.broadcast(Benchmark(rows))
 
     def run(batches):
+        focus("templates")
         for b in batches:
             out = [(d, *m) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for m in held.value.matches(t)]
             if out:

@@ -35,7 +35,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, at_most, dropped, mix, saved, shingle_set, sized
+from .common import BROADCAST_ROWS, at_most, dropped, focus, mix, saved, shingle_set, sized
 
 RATIO = 1.5
 #: Members in one block of the last step; two blocks meet in a task.
@@ -43,6 +43,8 @@ BLOCK = 1024
 MAX_BAND = 80
 #: Tile keys that a task gathers before it passes them on.
 KEYS = 250_000
+#: Pairs that a task gathers before it passes them on; repeats go in the shuffle.
+PAIRS = 200_000
 
 
 @dataclass(frozen=True)
@@ -132,6 +134,7 @@ def fold(bits: np.ndarray, size: int) -> np.ndarray:
 
 def _features(n: int):
     def run(batches):
+        focus("words")
         for b in batches:
             sizes, h1, h2 = [], [], []
             for t in b.column(1).to_pylist():
@@ -148,6 +151,7 @@ def _features(n: int):
 
 def _tiles(n: int, bands: Bands):
     def run(batches):
+        focus("words")
         for b in batches:
             ids, keys, held = [], [], 0
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -222,6 +226,7 @@ def _shared(batches):
 
 def _bitmaps(n: int, bands: Bands):
     def run(batches):
+        focus("words")
         for b in batches:
             sizes, bits = [], []
             for t in b.column(1).to_pylist():
@@ -235,6 +240,7 @@ def _bitmaps(n: int, bands: Bands):
 
 def _arrays(n: int):
     def run(batches):
+        focus("words")
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t, n).tobytes() for t in b.column(1).to_pylist()], pa.binary())], ["doc_id", "elements"])
 
@@ -287,6 +293,11 @@ def _pairs_of(block, doc, label, n, bits, left, right, num, den):
                 yield np.minimum(doc[maybe], doc[i]), np.maximum(doc[maybe], doc[i])
 
 
+def _distinct(pairs: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    found = np.unique(np.stack([np.concatenate([x for x, _ in pairs]), np.concatenate([y for _, y in pairs])], 1), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+
+
 def _block_pairs(bands: Bands):
     """Reads rows sorted by (tile, left, right); holds the rows of one pair of blocks, BLOCK rows each."""
     num, den = bands.num, bands.den
@@ -310,13 +321,17 @@ def _block_pairs(bands: Bands):
         work.kept = int(ends[-1]) if len(ends) else 0
         block, doc, label, n = (t.column(c).to_numpy() for c in ("block", "doc_id", "label", "n"))
         bits = t.column("bits").slice(0, work.kept).to_pylist()
-        out = []
+        out, held = [], 0
         for lo, hi in zip(starts, ends, strict=True):
             if (label[lo:hi] != label[lo]).any():
-                out += _pairs_of(block[lo:hi], doc[lo:hi], label[lo:hi], n[lo:hi], bits[lo:hi], *key[lo, 1:], num, den)
+                for pair in _pairs_of(block[lo:hi], doc[lo:hi], label[lo:hi], n[lo:hi], bits[lo:hi], *key[lo, 1:], num, den):
+                    out.append(pair)
+                    held += len(pair[0])
+                    if held >= PAIRS:
+                        yield _distinct(out)
+                        out, held = [], 0
         if out:
-            found = np.unique(np.stack([np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])], 1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+            yield _distinct(out)
 
     return run
 

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import focus
+
 BUCKETS = 1 << 15
 DIMENSIONS = 12
 #: Most documents that the model is fitted on; a fifth of them calibrates.
@@ -152,6 +154,7 @@ def identify(documents: DataFrame, sample: int = SAMPLE) -> DataFrame:
     model = documents.sparkSession.sparkContext.broadcast(fit(documents, sample))
 
     def run(batches):
+        focus("language")
         m = model.value
         words = Table(m.logits) if m else None
         for b in batches:

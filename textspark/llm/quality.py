@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .linear import fit_dense, labelled_sample, sigmoid
-from .common import saved, sized
+from .common import focus, saved, sized
 
 #: Most labelled rows that the model is fitted on.
 SAMPLE = 20_000
@@ -80,6 +80,7 @@ def chances(documents: DataFrame, model) -> DataFrame:
 
     @F.pandas_udf("double")
     def chance(texts):
+        focus("quality")
         mean, scale, w, b = held.value
         x = np.array([statistics(t) for t in texts]).reshape(-1, STATISTICS)
         return texts.__class__(sigmoid(np.clip((x - mean) / scale, -8, 8) @ w + b))

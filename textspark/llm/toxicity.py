@@ -18,6 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import focus, keeps
 from .linear import chosen_features, fit_dense, labelled_sample, sigmoid
 
 BUCKETS = 1 << 18
@@ -67,6 +68,7 @@ class Buckets(dict):
 
 
 _buckets = Buckets()
+keeps("toxicity", _buckets)
 
 
 def word_features(words) -> np.ndarray:
@@ -144,6 +146,7 @@ def score(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Data
     model = documents.sparkSession.sparkContext.broadcast((w.astype(np.float32), bias))
 
     def run(batches):
+        focus("toxicity")
         weights, b0 = model.value
         for b in batches:
             p = [float(sigmoid(weights[features(t)].sum(dtype=np.float64) + b0)) for t in b.column(1).to_pylist()]
