@@ -72,6 +72,20 @@ def test_line_frequency(frame, words):
     assert text[100] == words(40, 0) and text[200] == rows[80][1]
 
 
+def test_line_limits(frame, words):
+    footer = "this line is on many pages of the host and says nothing new at all"
+    with_footer = lambda at, n, host: [(at + i, f"{footer}\n{words(4, at + i)}", "en", host) for i in range(n)]
+    rest = lambda at, n, host: [(at + i, words(12, at + i), "en", host) for i in range(n)]
+    large = with_footer(0, 60, "large") + rest(100, 3200, "large")  # above the count, 1.8 % of the host
+    small = with_footer(10_000, 30, "small") + rest(10_100, 270, "small")  # 10 % of the host, below the count
+    few = with_footer(20_000, 4, "few")  # the whole host, but too few to tell
+    got = {r.doc_id: r.kept for r in line_rules.apply_rules(frame(large + small + few)).collect()}
+    assert not any(got[i] for i in range(60)) and not any(got[10_000 + i] for i in range(30)) and all(got[20_000 + i] for i in range(4))
+    assert all(got[i] for i, *_ in rest(100, 3200, "") + rest(10_100, 270, ""))
+    text = {r.doc_id: r.text for r in line_rules.cleaned(frame(large + small + few)).collect()}
+    assert text[0] == words(4, 0) and text[10_000] == words(4, 10_000) and text[20_000] == few[0][1]
+
+
 def test_empty_tables(frame, spark):
     none = frame([])
     assert pii.find_spans(none).count() == line_rules.apply_rules(none).count() == bpe.round_trip(none).count() == pii.sanitised(none).count() == 0

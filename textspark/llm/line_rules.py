@@ -2,8 +2,9 @@
 
 Rules of a single text come first. Then lines are normalised and hashed, and
 for each host the distinct documents of each line are counted; documents of
-equal text are one document. Lines above the host's limit are boilerplate and
-are removed; a document of which too little remains is rejected.
+equal text are one document. Lines above a fixed count or above a share of the
+host are boilerplate and are removed; a document of which too little remains
+is rejected.
 
 Texts are never shuffled: what is moved is one row for each distinct (host,
 line) of a task, and one row for each distinct text. Counts are summed before
@@ -20,9 +21,11 @@ from .common import BREAK_PATTERN, WORD_BREAKS, saved, sized
 #: Fewest words, and the largest share of words in repeated windows (percent), of the base rules.
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
-#: A line is boilerplate in a host if it is in more distinct documents than both.
+#: A line is boilerplate in a host if it is in more distinct documents than this, whatever the host's size,
 LINE_DOCS = 50
+#: or in more than this share of the host's distinct documents and in more than so many.
 LINE_SHARE = 0.02
+LINE_FLOOR = 5
 #: A document is depleted with fewer words left, or with a smaller share of its words.
 LEFT_WORDS = 10
 LEFT_SHARE = 0.3
@@ -78,7 +81,15 @@ def normal_lines(text: Column) -> Column:
     return F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("line"), F.size(F.split(x, " ")).alias("words")))
 
 
-def apply_rules(documents: DataFrame, host: str = "source", line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE) -> DataFrame:
+def common_lines(texts: DataFrame, line_docs: int, line_share: float, line_floor: int) -> DataFrame:
+    """Rows (host, line, docs, most) of lines above the count or the share; ``most`` is the lower of the two limits, ``texts`` one row a distinct text."""
+    share = F.greatest(F.lit(float(line_floor)), F.count("*") * line_share)
+    limits = texts.groupBy("host").agg(F.least(F.lit(float(line_docs)), share).alias("most"))
+    seen = texts.select("host", F.explode(F.array_distinct(F.transform("lines", lambda x: x["line"]))).alias("line")).groupBy("host", "line").agg(F.count("*").alias("docs"))
+    return seen.where(F.col("docs") > min(line_docs, line_floor)).join(sized(limits, 100_000), "host").where("docs > most")
+
+
+def apply_rules(documents: DataFrame, host: str = "source", line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, line_floor: int = LINE_FLOOR) -> DataFrame:
     """One row for each row: doc_id, the counts, base_failed and kept.
 
     Null texts count as empty (and fail). A null host is a host of its own.
@@ -95,10 +106,7 @@ def apply_rules(documents: DataFrame, host: str = "source", line_docs: int = LIN
     )
     counted = saved(counted.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))), "counted")
     texts = saved(documents.select(*[c.alias(k) for k, c in key.items()], normal_lines(text).alias("lines")).groupBy(*key).agg(F.first("lines").alias("lines")), "texts")
-    limits = texts.groupBy("host").agg(F.greatest(F.lit(float(line_docs)), F.count("*") * line_share).alias("most"))
-    seen = texts.select("host", F.explode(F.array_distinct(F.transform("lines", lambda x: x["line"]))).alias("line")).groupBy("host", "line").agg(F.count("*").alias("docs"))
-    seen = seen.where(F.col("docs") > line_docs)
-    common = saved(seen.join(sized(limits, 100_000), "host").where("docs > most").select("host", "line"), "common_lines")
+    common = saved(common_lines(texts, line_docs, line_share, line_floor).select("host", "line"), "common_lines")
     held = texts.select(*key, F.explode("lines").alias("x")).select(*key, "x.line", "x.words").join(sized(common, 500_000), ["host", "line"])
     gone = saved(held.groupBy(*key).agg(F.sum("words").alias("gone_words")), "gone_words")
     rows = counted.join(sized(gone, 500_000), list(key), "left")
@@ -107,13 +115,12 @@ def apply_rules(documents: DataFrame, host: str = "source", line_docs: int = LIN
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~depleted).alias("kept"), left.alias("n_words_left"))
 
 
-def cleaned(documents: DataFrame, host: str = "source", line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE) -> DataFrame:
+def cleaned(documents: DataFrame, host: str = "source", line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, line_floor: int = LINE_FLOOR) -> DataFrame:
     """Rows (host, line) are removed from the texts of ``documents``; all rows stay, see ``apply_rules`` for the verdict."""
     text = F.coalesce("text", F.lit(""))
     name = F.coalesce(F.col(host).cast("string"), F.lit("\0null"))
     texts = documents.select(name.alias("host"), F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"), normal_lines(text).alias("lines")).groupBy("host", "a", "b").agg(F.first("lines").alias("lines"))
-    limits = texts.groupBy("host").agg(F.greatest(F.lit(float(line_docs)), F.count("*") * line_share).alias("most"))
-    seen = texts.select("host", "a", "b", F.explode(F.array_distinct(F.transform("lines", lambda x: x["line"]))).alias("line")).groupBy("host", "line").agg(F.count("*").alias("docs")).join(limits, "host").where("docs > most")
+    seen = common_lines(texts, line_docs, line_share, line_floor)
     held = texts.select("host", "a", "b", F.explode(F.array_distinct(F.transform("lines", lambda x: x["line"]))).alias("line")).join(seen, ["host", "line"])
     per = held.groupBy("host", "a", "b").agg(F.collect_set("line").alias("_gone"))
     rows = documents.withColumns({"_host": name, "_a": F.xxhash64(text), "_b": F.xxhash64(F.lit(1), text)}).join(per.toDF("_host", "_a", "_b", "_gone"), ["_host", "_a", "_b"], "left")
