@@ -96,6 +96,18 @@ def test_decontamination(frame, spark):
     assert decontaminate.contaminated(frame([]), bench).count() == 0 and decontaminate.contaminated(frame(docs), bench.limit(0)).count() == 0
 
 
+def test_slots_that_clash():
+    train = "A train leaves {} at {} with {} passengers and travels {} km before it stops in {} for {} minutes today ."
+    box = "Every box of the shop holds {} red balls while another bag on that shelf has {} green ones"
+    long = "We know that {} people came to see it " + " ".join(f"x{c}y" for c in "abcdefghijklmnopqrstuvwxyz") + " while {} of them had gone home before the play was over that night"
+    items = [(1, train.format("Paris", 9, 120, 300, "Lyon", 20)), (2, box.format(12, 12)), (3, long.format(40, 40))]
+    bench = decontaminate.Benchmark(items)
+    found = lambda text: {m[0] for m in bench.matches(f"so it was said {text} and so on")}
+    assert found(train.format("Rome", 7, 85, 450, "Milan", 7)) == {1} and found(box.format(7, 9)) == {2} and found(long.format(40, 41)) == {3}
+    assert not found(train.format("Rome", 7, 7, 7, "Rome", 7))
+    assert decontaminate.clashes(["5", "5"], ["x", "y"], np.array([1, 2], np.uint64)) == []  # types apart
+
+
 def test_shards(frame, words):
     rows = [(i, words(i % 9), "en", "s") for i in range(1000)] + [(7, "again", "en", "s")] * 90 + [(None, None, "en", "s")] * 5 + [(2000, "é", None, None)]
     got = sharding.shard(frame(rows)).collect()

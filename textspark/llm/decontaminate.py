@@ -4,7 +4,8 @@ Numbers, names and units of a text become typed placeholders; every window of
 ``WINDOW`` template words is hashed and joined with the windows of the
 benchmark. Windows that meet on one diagonal (same item, same shift) form an
 alignment, and the alignment's slots are checked: a benchmark value must stand
-for one value of the document throughout, and the other way round. A
+for one value of the document, and the other way round, types apart. One slot
+or a quarter may differ, or a long enough run must hold by itself. A
 re-parameterised question keeps its template and a consistent mapping; prose
 that shares a template by chance does not keep the mapping.
 
@@ -30,6 +31,8 @@ WINDOW = 8
 #: An item is in a document if an alignment covers this share of its words, or this many words.
 SHARE = 0.6
 RUN = 13
+#: Share of an alignment's slots that may leave the one-to-one map of values; one always may.
+STRAY = 0.25
 #: Words of a window that must be plain words, not placeholders.
 PLAIN = 4
 #: Rows of the benchmark's window table that may be broadcast (8 bytes each).
@@ -103,15 +106,60 @@ def windows(h: np.ndarray) -> np.ndarray:
     return np.where(total[WINDOW:] - total[:-WINDOW] >= PLAIN, window_hashes(h, WINDOW), np.uint64(0))
 
 
-def slots_agree(item: list[str], doc: list[str], h: np.ndarray) -> bool:
-    """Whether the placeholders' values map one to one between the two aligned stretches."""
-    to: dict[str, str] = {}
-    back: dict[str, str] = {}
+def clashes(item: list[str], doc: list[str], h: np.ndarray) -> list[int]:
+    """Places of the placeholders that no one-to-one map of values, one for each type, takes along; pairs of values seen most often come first."""
+    seen: dict[tuple[int, str, str], list[int]] = {}
     for i in np.flatnonzero(h <= UNIT):
-        a, b = item[i].strip(EDGES).lower(), doc[i].strip(EDGES).lower()
-        if to.setdefault(a, b) != b or back.setdefault(b, a) != a:
-            return False
-    return True
+        seen.setdefault((int(h[i]), item[i], doc[i]), []).append(int(i))
+    to: dict[tuple[int, str], str] = {}
+    back: dict[tuple[int, str], str] = {}
+    out = []
+    for (kind, a, b), places in sorted(seen.items(), key=lambda x: (-len(x[1]), x[1])):
+        if to.get((kind, a), b) != b or back.get((kind, b), a) != a:
+            out += places
+        else:
+            to[kind, a], back[kind, b] = b, a
+    return sorted(out)
+
+
+def longest_consistent(item: list[str], doc: list[str], h: np.ndarray) -> int:
+    """Words in the longest stretch whose placeholders' values map one to one."""
+    to: dict[tuple[int, str], list] = {}
+    back: dict[tuple[int, str], list] = {}
+    best = start = 0
+    for i, kind in enumerate(h):
+        if kind <= UNIT:
+            for seen, x, y in ((to, item[i], doc[i]), (back, doc[i], item[i])):
+                # Per value: its partner now, the last place with it, and the last place with another partner.
+                now, last, other = seen.get((int(kind), x), (y, -1, -1))
+                if now != y:
+                    other = last
+                seen[int(kind), x] = [y, i, other]
+                start = max(start, other + 1)
+        best = max(best, i + 1 - start)
+    return best
+
+
+def slots_agree(item: list[str], doc: list[str], h: np.ndarray, starts: np.ndarray, enough: float) -> bool:
+    """Whether two aligned stretches are of one template.
+
+    They are if at most one slot, or a quarter of them, leaves the one-to-one
+    map of values, or if a run (they begin at ``starts``) has ``RUN`` words or
+    ``enough`` words with no slot outside or alike word for word.
+    """
+    a, b = [x.strip(EDGES).lower() for x in item], [x.strip(EDGES).lower() for x in doc]
+    out = clashes(a, b, h)
+    if len(out) <= max(1, STRAY * int((h <= UNIT).sum())):
+        return True
+    ends = np.r_[starts[1:], len(a)]
+    for lo, hi in zip(starts, ends, strict=True):
+        if hi - lo < min(RUN, enough):
+            continue
+        unlike = np.flatnonzero([x != y for x, y in zip(a[lo:hi], b[lo:hi], strict=True)])
+        alike = int(np.diff(np.r_[-1, unlike, hi - lo]).max()) - 1
+        if max(alike, longest_consistent(a[lo:hi], b[lo:hi], h[lo:hi])) >= min(RUN, enough):
+            return True
+    return False
 
 
 class Benchmark:
@@ -168,7 +216,8 @@ def judged(items, item, at, pos, words, h):
             continue
         there = covered + int(shift[lo])
         a, b = [own[x] for x in covered], [words[x] for x in there]
-        if slots_agree(a, b, form[covered]) and len(covered) > best.get(i, (0, 0, False))[0]:
+        starts = np.cumsum([0, *map(len, runs[:-1])])
+        if slots_agree(a, b, form[covered], starts, SHARE * len(own)) and len(covered) > best.get(i, (0, 0, False))[0]:
             best[i] = len(covered), len(own), [x.strip(EDGES).lower() for x in a] == [x.strip(EDGES).lower() for x in b]
     for i, (n, size, exact) in sorted(best.items()):
         yield i, n, size, exact
