@@ -108,6 +108,16 @@ def test_slots_that_clash():
     assert decontaminate.clashes(["5", "5"], ["x", "y"], np.array([1, 2], np.uint64)) == []  # types apart
 
 
+def test_few_plain_words_and_parted_alignments(frame, spark):
+    items = [(1, "A train goes 60 km in 2 hours and 90 km in 3 hours"), (2, "Who wrote the first act"), (3, "the visitor Ana bought 25 apples and then gave away 7 of them to some hungry children"), (4, "40 m 30 s 20 kg 10 l 5 h"), (5, "two words")]
+    pad = "so it was said here and there"
+    texts = ["he said: A train goes 60 km in 2 hours and 90 km in 3 hours", f"{pad} who wrote the first act? {pad}", f"{pad} the visitor Juan Carlos bought one hundred five apples and then gave away 9 of them to some hungry children",
+             f"{pad} the visitor Ana bought 25 apples and then gladly gave away 7 of them to some hungry children", f"{pad} 40 m 30 s 20 kg 10 l 5 h {pad}", f"{pad} 41 m 31 s 21 kg 11 l 6 h {pad}", f"{pad} two words {pad}", "Two words."]
+    for limit in (decontaminate.BROADCAST_WINDOWS, 0):
+        got = decontaminate.contaminated(frame([(i, t, "en", "s") for i, t in enumerate(texts)]), spark.createDataFrame(items, "item_id long, text string"), limit).collect()
+        assert sorted((r.doc_id, r.item_id) for r in got) == [(0, 1), (1, 2), (2, 3), (3, 3), (4, 4), (7, 5)]
+
+
 def test_shards(frame, words):
     rows = [(i, words(i % 9), "en", "s") for i in range(1000)] + [(7, "again", "en", "s")] * 90 + [(None, None, "en", "s")] * 5 + [(2000, "é", None, None)]
     got = sharding.shard(frame(rows)).collect()

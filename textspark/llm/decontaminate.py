@@ -31,16 +31,20 @@ WINDOW = 8
 #: An item is in a document if an alignment covers this share of its words, or this many words.
 SHARE = 0.6
 RUN = 13
+#: Shifts of one item this far apart are summed.
+NEAR = 8
 #: Share of an alignment's slots that may leave the one-to-one map of values; one always may.
 STRAY = 0.25
-#: Words of a window that must be plain words, not placeholders.
+#: Plain words that a window needs to be compared as a template; with fewer its values are compared.
 PLAIN = 4
+#: Least words of an item that is looked for inside a text.
+SHORT = 5
 #: Rows of the benchmark's window table that may be broadcast (8 bytes each).
 BROADCAST_WINDOWS = 2_000_000
 
 #: Unit words that take a typed placeholder.
 UNITS = frozenset("""
-    mm cm m km in ft yd mi inch inches foot feet yard yards mile miles metre metres meter meters kilometre kilometres kilometer kilometers
+    mm cm m km ft yd mi inch inches foot feet yard yards mile miles metre metres meter meters kilometre kilometres kilometer kilometers
     mg g kg lb lbs oz gram grams kilogram kilograms pound pounds ounce ounces ton tons tonne tonnes
     ml l litre litres liter liters gallon gallons s sec secs second seconds min mins minute minutes h hr hrs hour hours day days week weeks
     month months year years usd eur gbp dollar dollars euro euros cent cents percent mph kmh kph hz khz mhz ghz kb mb gb tb w kw kwh v volt volts watt watts
@@ -49,6 +53,8 @@ NUMBER = re.compile(r"[+-]?[$€£]?[0-9][0-9.,:/]*(?:st|nd|rd|th)?%?")
 NUMBER_WORDS = frozenset("zero one two three four five six seven eight nine ten eleven twelve twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million".split())
 EDGES = "\"'()[]{}<>.,;:!?*_“”‘’«»…–—"
 NUM, NAME, UNIT = np.uint64(1), np.uint64(2), np.uint64(3)
+#: The word 'in': inches after a number, a plain word elsewhere (forms of other words have bit 2 and a higher one).
+IN = np.uint64(4)
 
 
 class Words(dict):
@@ -70,6 +76,8 @@ class Words(dict):
             form = int(NUM)
         elif low in UNITS:
             form = int(UNIT)
+        elif low == "in":
+            form = int(IN)
         else:
             form = (xxhash.xxh3_64_intdigest(low.encode("utf-8", "replace")) | 4) >> 2 | 4
             name = core[0].isupper() and not (len(core) > 1 and core.isupper())
@@ -84,7 +92,8 @@ keeps("templates", _words)
 def template(text: str | None) -> tuple[list[str], np.ndarray]:
     """Words of a text and their template forms; words of marks alone have none and are left out.
 
-    A capital makes a name only inside a sentence.
+    A capital makes a name only inside a sentence. Adjacent placeholders of
+    one type are one, so that 'Juan Carlos' fills the slot of 'Ana'.
     """
     words = text.split() if text else []
     if not words:
@@ -92,18 +101,60 @@ def template(text: str | None) -> tuple[list[str], np.ndarray]:
     v = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
     h, flags = v >> np.uint64(2), (v & np.uint64(3)).astype(np.uint8)
     h[1:][(flags[1:] >= 2) & (flags[:-1] & 1 == 0)] = NAME
-    if h.all():
-        return words, h
-    keep = h != 0
-    return [w for w, k in zip(words, keep, strict=True) if k], h[keep]
+    if not h.all():
+        keep = h != 0
+        words, h = [w for w, k in zip(words, keep, strict=True) if k], h[keep]
+    h[1:][(h[1:] == IN) & (h[:-1] == NUM)] = UNIT
+    more = np.r_[False, (h[1:] <= UNIT) & (h[1:] == h[:-1])] if len(h) else np.empty(0, bool)
+    if more.any():
+        first = np.flatnonzero(~more)
+        words = [words[i] if j - i == 1 else " ".join([w.strip(EDGES) for w in words[i:j]]) for i, j in zip(first, np.r_[first[1:], len(h)], strict=True)]
+        h = h[first]
+    return words, h
 
 
-def windows(h: np.ndarray) -> np.ndarray:
-    """Hash of each window; 0 where too few of its words are plain."""
+def values(words: list[str]) -> np.ndarray:
+    """Hashes of the words themselves, whatever case and marks around them."""
+    return np.fromiter((xxhash.xxh3_64_intdigest(w.strip(EDGES).lower().encode("utf-8", "replace"), seed=1) for w in words), np.uint64, len(words))
+
+
+def windows(words: list[str], h: np.ndarray) -> np.ndarray:
+    """Hash of each window, of the values themselves where too few of its words are plain."""
     if len(h) < WINDOW:
         return np.empty(0, np.uint64)
     total = np.cumsum(np.r_[0, h > UNIT])
-    return np.where(total[WINDOW:] - total[:-WINDOW] >= PLAIN, window_hashes(h, WINDOW), np.uint64(0))
+    poor = np.flatnonzero(total[WINDOW:] - total[:-WINDOW] < PLAIN)
+    found = window_hashes(h, WINDOW)
+    cuts = np.flatnonzero(np.diff(poor) > 1) + 1
+    for run in np.split(poor, cuts) if len(poor) else ():
+        found[run] = window_hashes(values(words[run[0] : run[-1] + WINDOW]), WINDOW)
+    return found
+
+
+def item_keys(words: list[str], h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of an item and their places: its windows, or all of it where it is shorter than a window."""
+    if 0 < len(h) < WINDOW:
+        return window_hashes(values(words), len(h)), np.zeros(1, np.int64)
+    w = windows(words, h)
+    return w, np.arange(len(w))
+
+
+def document_keys(words: list[str], h: np.ndarray, lengths) -> tuple[np.ndarray, np.ndarray]:
+    """The same of a document, with its exact stretches of as many words as short items have.
+
+    An item under ``SHORT`` words says too little to be looked for inside a
+    text; it is found where it is the whole text.
+    """
+    w = windows(words, h)
+    keys, at = [w], [np.arange(len(w))]
+    lengths = [n for n in lengths if n == len(h) or SHORT <= n < len(h)]
+    if lengths:
+        v = values(words)
+        for n in lengths:
+            x = window_hashes(v, n)
+            keys.append(x)
+            at.append(np.arange(len(x)))
+    return np.concatenate(keys), np.concatenate(at)
 
 
 def clashes(item: list[str], doc: list[str], h: np.ndarray) -> list[int]:
@@ -169,11 +220,11 @@ class Benchmark:
         for item, text in rows:
             words, h = template(text)
             self.items[item] = words, h
-            w = windows(h)
-            ok = np.flatnonzero(w)
-            keys.append(w[ok])
-            ids.append(np.full(len(ok), item))
-            at.append(ok)
+            w, places = item_keys(words, h)
+            keys.append(w)
+            ids.append(np.full(len(w), item))
+            at.append(places)
+        self.lengths = sorted({len(h) for _, h in self.items.values() if 0 < len(h) < WINDOW})
         key = np.concatenate(keys) if keys else np.empty(0, np.uint64)
         order = np.argsort(key, kind="stable")
         self.key = key[order]
@@ -183,7 +234,7 @@ class Benchmark:
     def matches(self, text: str | None):
         """(item_id, matched words, item words, exact) of each item whose alignment in the text is long enough and consistent."""
         words, h = template(text)
-        w = windows(h)
+        w, places = document_keys(words, h, self.lengths)
         if not len(w) or not len(self.key):
             return
         low = np.searchsorted(self.key, w)
@@ -192,7 +243,7 @@ class Benchmark:
             return
         low, high = low[hit], np.searchsorted(self.key, w[hit], "right")
         n = high - low
-        pos = np.repeat(hit, n)
+        pos = np.repeat(places[hit], n)
         row = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
         yield from judged(self.items, self.item[row], self.at[row], pos, words, h)
 
@@ -204,21 +255,36 @@ def judged(items, item, at, pos, words, h):
     order = np.lexsort((pos, shift, item))
     item, at, pos, shift = item[order], at[order], pos[order], shift[order]
     cuts = np.flatnonzero(np.r_[True, (item[1:] != item[:-1]) | (shift[1:] != shift[:-1]), True])
-    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+    alone = [(lo, hi) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
+    for k, (lo, hi) in enumerate(alone):
         i = int(item[lo])
         own, form = items[i]
-        marks = np.zeros(len(own) + 1, np.int64)
-        np.add.at(marks, at[lo:hi], 1)
-        np.add.at(marks, np.minimum(at[lo:hi] + WINDOW, len(own)), -1)
-        covered = np.flatnonzero(np.cumsum(marks)[:-1] > 0)
-        runs = np.split(covered, np.flatnonzero(np.diff(covered) > 1) + 1)
-        if len(covered) < SHARE * len(own) and max(map(len, runs)) < RUN:
-            continue
-        there = covered + int(shift[lo])
-        a, b = [own[x] for x in covered], [words[x] for x in there]
-        starts = np.cumsum([0, *map(len, runs[:-1])])
-        if slots_agree(a, b, form[covered], starts, SHARE * len(own)) and len(covered) > best.get(i, (0, 0, False))[0]:
-            best[i] = len(covered), len(own), [x.strip(EDGES).lower() for x in a] == [x.strip(EDGES).lower() for x in b]
+        # The alignment by itself, then with those of nearby shifts: words put in or left out part them.
+        near = [k]
+        for step in (-1, 1):
+            j = k + step
+            while 0 <= j < len(alone) and item[alone[j][0]] == i and abs(shift[alone[j][0]] - shift[lo]) <= NEAR:
+                near.append(j)
+                j += step
+        for group in ([k], near) if len(near) > 1 else ([k],):
+            there = np.full(len(own), -1, np.int64)
+            for j in group:
+                a, z = alone[j]
+                marks = np.zeros(len(own) + 1, np.int64)
+                np.add.at(marks, at[a:z], 1)
+                np.add.at(marks, np.minimum(at[a:z] + WINDOW, len(own)), -1)
+                free = np.flatnonzero((np.cumsum(marks)[:-1] > 0) & (there < 0))
+                there[free] = free + int(shift[a])
+            covered = np.flatnonzero(there >= 0)
+            # Places in the text must rise with those in the item.
+            covered = covered[there[covered] >= np.maximum.accumulate(there[covered])]
+            starts = np.r_[0, np.flatnonzero(np.diff(covered) > 1) + 1]
+            longest = int(np.diff(np.r_[starts, len(covered)]).max())
+            if len(covered) < SHARE * len(own) and longest < RUN:
+                continue
+            x, y = [own[c] for c in covered], [words[c] for c in there[covered]]
+            if len(covered) > best.get(i, (0, 0, False))[0] and slots_agree(x, y, form[covered], starts, SHARE * len(own)):
+                best[i] = len(covered), len(own), [w.strip(EDGES).lower() for w in x] == [w.strip(EDGES).lower() for w in y]
     for i, (n, size, exact) in sorted(best.items()):
         yield i, n, size, exact
 
@@ -247,17 +313,19 @@ def _scanned(documents: DataFrame, rows: list[tuple[int, str]]) -> DataFrame:
 def _joined(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The same by a shuffled join of window hashes, for benchmarks of any size."""
 
-    def keyed(batches):
-        for b in batches:
-            ids, keys, at = [], [], []
-            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                w = windows(template(t)[1])
-                ok = np.flatnonzero(w)
-                ids += [d] * len(ok)
-                keys.append(w[ok])
-                at.append(ok)
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(at))], ["id", "key", "at"])
+    def keyed(keys_of):
+        def run(batches):
+            for b in batches:
+                ids, keys, at = [], [], []
+                for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    w, places = keys_of(*template(t))
+                    ids += [d] * len(w)
+                    keys.append(w)
+                    at.append(places)
+                if ids:
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(at))], ["id", "key", "at"])
+
+        return run
 
     def judge(batches):
         for b in batches:
@@ -271,8 +339,8 @@ def _joined(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
             if out:
                 yield _batch(out)
 
-    left = documents.mapInArrow(keyed, "id long, key long, at long").toDF("doc_id", "key", "pos")
-    right = benchmark.mapInArrow(keyed, "id long, key long, at long").toDF("item_id", "key", "at")
+    left = documents.mapInArrow(keyed(lambda words, h: document_keys(words, h, range(1, WINDOW))), "id long, key long, at long").toDF("doc_id", "key", "pos")
+    right = benchmark.mapInArrow(keyed(item_keys), "id long, key long, at long").toDF("item_id", "key", "at")
     met = left.join(right, "key").groupBy("doc_id", "item_id").agg(F.collect_set(F.struct("at", "pos")).alias("pairs"))
     met = met.join(benchmark.toDF("item_id", "item"), "item_id").groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "item", "pairs")).alias("found"))
     return documents.join(met, "doc_id").select("doc_id", "text", "found").mapInArrow(judge, FOUND)
@@ -282,8 +350,9 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, broadcast_windows:
     """Rows (doc_id, item_id, matched_words, item_words, exact): each benchmark item found in each document.
 
     An item is found where one consistent alignment covers 60 % of its words
-    or a run of 13 words. Null and empty texts, items shorter than a window
-    and rows with a null id match nothing; rows that repeat a doc_id give one
+    or a run of 13 words. Items shorter than a window are found by their
+    values, under 5 words only as a whole text. Null and empty texts and rows
+    with a null id match nothing; rows that repeat a doc_id give one
     row an item. ``exact`` says that the values are the item's own.
     """
     docs = documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
