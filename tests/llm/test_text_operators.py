@@ -130,6 +130,13 @@ def test_token_rows(frame, pair):
     assert sorted(bytes(r.data) for r in whole.collect()) == sorted((t or "").encode() for _, t, *_ in ODD)
 
 
+def test_token_digest_of_a_leading_space(frame, pair):
+    texts = [" abc", " ", " abc de", "  abc", "abc"]
+    for r in bpe.round_trip(frame([(i, t, "en", "s") for i, t in enumerate(texts)])).collect():
+        ids = pair[1].encode_ordinary(texts[r.doc_id])
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()), texts[r.doc_id]
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{margin:0}</style><script>var t="</p>";</script></head><body><nav><ul><li><a href="/a">One</a></li><li><a href="/b">Two</a></li></ul></nav>
 <!-- ad --><div class="ad">Buy this now and for ever, dear reader.</div>%s<footer>&copy; x &middot; y</footer></body></html>"""
 

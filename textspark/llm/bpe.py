@@ -171,7 +171,7 @@ class ByteBpe:
         """
         parts = text.split(" ") if not BESIDE_SPACE(text) else LONE_SPACE(text)
         known, make = self._chunks.get, self._chunk
-        out = [known(parts[0]) or make(parts[0])]
+        out = [known(parts[0]) or make(parts[0])] if parts[0] else []
         out += [known(c) or make(c) for c in map(" ".__add__, parts[1:])]
         return out
 
