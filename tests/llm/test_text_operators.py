@@ -55,6 +55,15 @@ def test_disclosing_terms(frame, words):
     assert all(r.n_term == 0 for r in pii.find_spans(frame(copies + rest)).collect())
 
 
+def test_terms_inside_values(frame, words):
+    told = [(i, f"{words(12, i)} email John Doe, john.doe@acme.com or +1 (407) 555-7710 {words(12, i + 50)}", "en", "s") for i in range(6)]
+    rest = [(100 + i, words(40, i), "en", "s") for i in range(200)]
+    assert all(r.n_term > 0 for r in pii.find_spans(frame(told + rest)).where("doc_id < 100").collect())
+    for r in pii.sanitised(frame(told + rest)).where("doc_id < 100").collect():
+        assert "[EMAIL]" in r.text and "[PHONE]" in r.text, r.text
+        assert not any(x in r.text.lower() for x in ("john", "doe", "acme", "555", "7710")), r.text
+
+
 def test_line_rules(frame):
     texts, got = by_id(ODD), line_rules.apply_rules(frame(ODD)).collect()
     assert len(got) == len(ODD)

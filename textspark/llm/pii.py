@@ -39,6 +39,8 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+#: What replaces a value or a term is no term itself.
+NOT_A_MARK = r"(?!(?<=\[)(?:EMAIL|IP|CARD|PHONE|NUMBER|TERM)\])"
 OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 
 
@@ -189,23 +191,26 @@ def _replaced(text: Column, kind: str) -> Column:
 def sanitised(documents: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame:
     """``documents`` with personal data replaced and disclosing terms generalised or removed.
 
-    Kinds are replaced in their order. Terms become [NUMBER] or [TERM]; those
-    of share ``REMOVE`` and more go. A null text stays null; ``n_chars``, where
-    there is one, follows the text.
+    Kinds are replaced in their order and before the terms, which are looked
+    for only in what is left, so that no term breaks up a value. Terms become
+    [NUMBER] or [TERM]; those of share ``REMOVE`` and more go. A null text
+    stays null; ``n_chars``, where there is one, follows the text.
     """
     found = saved(_found(documents), "found")
     disclosing = disclosing_terms(documents, found, support, generalise)
-    rows, text = documents, F.col("text")
+    rows = documents
     if disclosing is not None:
         per = saved(_document_terms(found, disclosing), "document_terms").withColumnsRenamed({"doc_id": "_doc_id", "text_hash": "_text_hash", "terms": "_terms", "removed": "_removed"})
         key = F.xxhash64(F.coalesce("text", F.lit("")))
         rows = documents.join(sized(per, 200_000), (F.col("doc_id") == F.col("_doc_id")) & (key == F.col("_text_hash")), "left")
-        kept = F.array_except("_terms", "_removed")
+    for kind in KINDS:
+        rows = rows.withColumn("text", _replaced(F.col("text"), kind))
+    if disclosing is not None:
+        text, kept = F.col("text"), F.array_except("_terms", "_removed")
         numbers = F.filter(kept, lambda t: t.rlike(r"\A[0-9]+\z"))
         for terms, to in ((F.col("_removed"), ""), (numbers, "[NUMBER]"), (F.array_except(kept, numbers), "[TERM]")):
-            text = F.when(F.size(terms) > 0, F.regexp_replace(text, _term_pattern(terms), F.lit(to))).otherwise(text)
-    for kind in KINDS:
-        rows = rows.withColumn("text", text if kind == KINDS[0] else F.col("text")).withColumn("text", _replaced(F.col("text"), kind))
+            text = F.when(F.size(terms) > 0, F.regexp_replace(text, F.concat(F.lit(NOT_A_MARK), _term_pattern(terms)), F.lit(to))).otherwise(text)
+        rows = rows.withColumn("text", text)
     if "n_chars" in documents.columns:
         rows = rows.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return rows.select(*documents.columns)
