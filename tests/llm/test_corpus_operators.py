@@ -108,6 +108,14 @@ def test_slots_that_clash():
     assert decontaminate.clashes(["5", "5"], ["x", "y"], np.array([1, 2], np.uint64)) == []  # types apart
 
 
+def test_texts_of_one_id(frame, spark):
+    item = "the quick brown fox jumps over the lazy dog while the cat sleeps under an old tree"
+    docs = [(1, "w " * 40 + item, "en", "s"), (1, "a short one", "en", "s"), (1, "then " + item + " fell", "en", "s"), (2, "a short one", "en", "s")]
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    for limit in (decontaminate.BROADCAST_WINDOWS, 0):
+        assert [(r.doc_id, r.item_id, r.matched_words, r.exact) for r in decontaminate.contaminated(frame(docs), bench, limit).collect()] == [(1, 1, 17, True)]
+
+
 def test_few_plain_words_and_parted_alignments(frame, spark):
     items = [(1, "A train goes 60 km in 2 hours and 90 km in 3 hours"), (2, "Who wrote the first act"), (3, "the visitor Ana bought 25 apples and then gave away 7 of them to some hungry children"), (4, "40 m 30 s 20 kg 10 l 5 h"), (5, "two words")]
     pad = "so it was said here and there"

@@ -316,14 +316,15 @@ def _joined(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     def keyed(keys_of):
         def run(batches):
             for b in batches:
-                ids, keys, at = [], [], []
-                for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                ids, hashes, keys, at = [], [], [], []
+                for d, t, x in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                     w, places = keys_of(*template(t))
                     ids += [d] * len(w)
+                    hashes += [x] * len(w)
                     keys.append(w)
                     at.append(places)
                 if ids:
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(at))], ["id", "key", "at"])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(at))], ["id", "hash", "key", "at"])
 
         return run
 
@@ -339,11 +340,14 @@ def _joined(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
             if out:
                 yield _batch(out)
 
-    left = documents.mapInArrow(keyed(lambda words, h: document_keys(words, h, range(1, WINDOW))), "id long, key long, at long").toDF("doc_id", "key", "pos")
-    right = benchmark.mapInArrow(keyed(item_keys), "id long, key long, at long").toDF("item_id", "key", "at")
-    met = left.join(right, "key").groupBy("doc_id", "item_id").agg(F.collect_set(F.struct("at", "pos")).alias("pairs"))
-    met = met.join(benchmark.toDF("item_id", "item"), "item_id").groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "item", "pairs")).alias("found"))
-    return documents.join(met, "doc_id").select("doc_id", "text", "found").mapInArrow(judge, FOUND)
+    # A doc_id may stand for several texts, so a text is its doc_id and its hash.
+    kinds = "id long, hash long, key long, at long"
+    documents = documents.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    left = documents.mapInArrow(keyed(lambda words, h: document_keys(words, h, range(1, WINDOW))), kinds).toDF("doc_id", "text_hash", "key", "pos")
+    right = benchmark.withColumn("hash", F.lit(0).cast("long")).mapInArrow(keyed(item_keys), kinds).drop("hash").toDF("item_id", "key", "at")
+    met = left.join(right, "key").groupBy("doc_id", "text_hash", "item_id").agg(F.collect_set(F.struct("at", "pos")).alias("pairs"))
+    met = met.join(benchmark.toDF("item_id", "item"), "item_id").groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("item_id", "item", "pairs")).alias("found"))
+    return documents.join(met, ["doc_id", "text_hash"]).select("doc_id", "text", "found").mapInArrow(judge, FOUND)
 
 
 def contaminated(documents: DataFrame, benchmark: DataFrame, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
