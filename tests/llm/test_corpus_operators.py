@@ -196,6 +196,16 @@ def test_toxicity(frame, spark, words):
     assert toxicity.score(frame([]), table).count() == 0 and {r.score for r in toxicity.score(frame(docs[:3]), table.limit(0)).collect()} == {0.5}
 
 
+def test_all_swapped_sentences_count(frame, spark, monkeypatch):
+    terms = [g[i] for g in toxicity.IDENTITY for i in (0, 1)]
+    docs = [(i, f"the {terms[i % 16]} one is {'awful' if i % 3 == 0 or i % 16 == 0 else 'fine'} today w{'abcdefghij'[i % 10]}x{'abcdefghij'[i // 10 % 10]}y{'abcdefghij'[i // 100]}", "en", "s") for i in range(300)]
+    labels = spark.createDataFrame([(i, int("awful" in t)) for i, t, *_ in docs], "doc_id long, toxic int")
+    w, bias = toxicity.fit(frame(docs), labels)
+    monkeypatch.setattr(toxicity, "TWINS", 7)
+    parted, other = toxicity.fit(frame(docs), labels)
+    assert np.abs(w).max() > 0 and np.allclose(w, parted, atol=1e-6) and abs(bias - other) < 1e-6
+
+
 def test_language(frame):
     rnd = random.Random(4)
     vocabulary = {"en": "the and of to house water going thing with".split(), "de": "der und die haus wasser gehen ding mit schön".split(), "fr": "le et de maison eau aller chose avec été".split()}

@@ -32,12 +32,12 @@ def chosen_features(rows: list[np.ndarray], y: np.ndarray, size: int, least_z: f
     return best[z[best] >= least_z]
 
 
-def fit_dense(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, steps: int = 60, differences: np.ndarray | None = None, penalty: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+def fit_dense(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, steps: int = 60, differences=(), penalty: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """Logistic regression by Newton steps: means, scales, weights, bias.
 
-    Each row of ``differences``, the features of one text less those of its
-    counterfactual, adds ``penalty * len(x) / len(differences)`` times its
-    squared score to the loss.
+    Each row of the blocks of ``differences``, the features of one text less
+    those of its counterfactual, adds ``penalty * len(x)``, shared out among
+    all these rows, times its squared score to the loss.
     """
     mean, scale = x.mean(0), np.where(x.std(0) < 1e-6, 1.0, x.std(0))
     z = np.c_[(x - mean) / scale, np.ones(len(x))]
@@ -45,9 +45,12 @@ def fit_dense(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, steps: int = 60, d
     ridge = np.full(len(w), l2 * len(z))
     ridge[-1] = 1e-6
     pull = np.diag(ridge)
-    if differences is not None and len(differences):
-        d = np.c_[differences / scale, np.zeros(len(differences))]
-        pull = pull + 2 * penalty * len(z) / len(d) * d.T @ d
+    n, products = 0, np.zeros_like(pull)
+    for block in differences:
+        d = np.c_[block / scale, np.zeros(len(block))]
+        n, products = n + len(d), products + d.T @ d
+    if n:
+        pull = pull + 2 * penalty * len(z) / n * products
     for _ in range(steps):
         p = sigmoid(z @ w)
         h = (z * (p * (1 - p) + 1e-6)[:, None]).T @ z + pull

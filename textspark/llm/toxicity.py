@@ -24,7 +24,7 @@ from .linear import chosen_features, fit_dense, labelled_sample, sigmoid
 BUCKETS = 1 << 18
 #: Most labelled rows that the model is fitted on.
 SAMPLE = 8_000
-#: Most swapped sentences in the penalty, of the sample's documents in hash order.
+#: Swapped sentences of the penalty that are made dense at a time; all of the sample count.
 TWINS = 5_000
 #: Least difference of a word's share between the classes, in standard errors, and most words so chosen.
 LEAST_Z = 5.0
@@ -121,7 +121,8 @@ def train(rows: list[np.ndarray], y: np.ndarray, twins: list[tuple[np.ndarray, n
         return w, 3.0 if len(y) and y[0] else -3.0 if len(y) else 0.0
     own = np.union1d(chosen_features(rows, y, BUCKETS, LEAST_Z, FEATURES), word_features(GROUP)) if twins else np.sort(chosen_features(rows, y, BUCKETS, LEAST_Z, FEATURES))
     dense = lambda xs: np.array([np.isin(own, x, assume_unique=True) for x in xs], float).reshape(len(xs), len(own))
-    differences = dense([a for a, _ in twins]) - dense([b for _, b in twins]) if twins else None
+    parts = (twins[i : i + TWINS] for i in range(0, len(twins), TWINS))
+    differences = (dense([a for a, _ in p]) - dense([b for _, b in p]) for p in parts)
     mean, scale, v, bias = fit_dense(dense(rows), y, differences=differences)
     w[own.astype(np.int64)] = v / scale
     return w, bias - float((v * mean / scale).sum())
@@ -132,7 +133,7 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[
     chosen = labelled_sample(labels, "toxic", sample, f"crc32(cast(doc_id as string)) % 5 <> {HELD_OUT}")
     rows = documents.where("text is not null").select(F.col("doc_id"), "text").join(F.broadcast(chosen), "doc_id").mapInArrow(_sampled, "doc_id long, x binary, a array<binary>, b array<binary>, label int").collect()
     rows.sort(key=lambda r: (r.doc_id, bytes(r.x)))
-    twins = [(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)) for r in rows for x, y in zip(r.a, r.b, strict=True)][:TWINS]
+    twins = [(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)) for r in rows for x, y in zip(r.a, r.b, strict=True)]
     return train([np.frombuffer(r.x, np.uint32) for r in rows], np.array([r.label for r in rows], float), twins)
 
 
