@@ -115,7 +115,7 @@ def test_tokens(pair):
         text = "".join(rnd.choice(alphabet) for _ in range(rnd.choice([0, 1, 5, 20, 60, 200, 900])))
         ids = own.encode(text)
         assert ids == other.encode_ordinary(text) and own.decode(ids).decode() == text
-    for text in ("a" * 9000, " " * 9000, "ab" * 5000, "theing" * 2000):
+    for text in (" abc", " ", "a ", " a  b ", "x\n\ny z\x0b w", "a" * 9000, " " * 9000, "ab" * 5000, "theing" * 2000):
         assert own.encode(text) == other.encode_ordinary(text)
 
 

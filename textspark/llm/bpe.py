@@ -22,23 +22,32 @@ import base64
 import hashlib
 import heapq
 import re
+from array import array
 from functools import lru_cache
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from .common import focus, keeps
+from .common import Kept, focus, keeps
 
 #: Byte strings up to this length are merged directly.
 LEAF = 4
-#: Short byte strings whose merges a worker keeps.
-KEPT_LEAVES = 300_000
-#: Distinct short stretches whose encodings a worker keeps.
-KEPT_CHUNKS = 500_000
-KEPT_LENGTH = 64
-BESIDE_SPACE = re.compile(r"\s\x20|\x20\s").search
+#: Short byte strings and stretches of text whose encodings a worker keeps, twice as many at most, and the longest (bytes, code points).
+KEPT_LEAVES = 100_000
+KEPT_STRETCHES = 200_000
+KEPT_BYTES = 16
+KEPT_LENGTH = 48
+#: Bytes of text that are worked on at a time; a longer text is a lot of its own.
+LOT_BYTES = 4 << 20
+#: Ids that a leaf of the decoding tree concatenates at once.
+DECODE_LEAF = 1 << 20
+#: Characters that any of the pattern's white space classes may take, as an RE2 class.
+SPACES = r"[\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+BESIDE_SPACE = rf"{SPACES}\x20|\x20{SPACES}"
 LONE_SPACE = re.compile(r"(?<=\S)\x20(?=\S)").split
 
 
@@ -49,13 +58,18 @@ class ByteBpe:
         for token, rank in ranks.items():
             self.bytes_of[rank] = token
         self.cut = regex.compile(pattern).findall
-        self._pairs: dict[tuple[int, int], bool] = {}
-        self._merged: dict[bytes, list[int]] = {}
-        self._chunks: dict[str, tuple[tuple[int, ...], str]] = {}
+        self._merged = Kept(self._merge, KEPT_LEAVES)
+        self._halves = Kept(self._by_halves, KEPT_LEAVES)
+        self._stretches = Kept(self._cut, KEPT_STRETCHES)
+        # The bytes of each id, and each id as text after a space, for joining many at once.
+        self.data = pa.array(self.bytes_of, pa.large_binary())
+        self.shown = pa.array([f" {i}" for i in range(len(self.bytes_of))], pa.large_string())
+        self.data_size = np.fromiter(map(len, self.bytes_of), np.int64, len(self.bytes_of))
+        self.shown_size = np.char.str_len(np.arange(len(self.bytes_of)).astype(str)).astype(np.int64) + 1
 
     def clear(self) -> None:
         """Drops what has been kept; the vocabulary stays."""
-        for kept in (self._chunks, self._merged, self._pairs):
+        for kept in (self._stretches, self._halves, self._merged):
             kept.clear()
 
     @classmethod
@@ -65,14 +79,7 @@ class ByteBpe:
 
     def merged(self, data: bytes) -> list[int]:
         """Direct merging, lowest rank first, leftmost on ties; short strings are kept."""
-        known = self._merged.get(data)
-        if known is None:
-            known = self._merge(data)
-            if len(data) <= 4 * LEAF:
-                if len(self._merged) >= KEPT_LEAVES:
-                    self._merged.clear()
-                self._merged[data] = known
-        return known
+        return self._merged[data] if len(data) <= KEPT_BYTES else self.merged_long(data)
 
     def _merge(self, data: bytes) -> list[int]:
         ranks, parts = self.ranks, [data[i : i + 1] for i in range(len(data))]
@@ -89,24 +96,19 @@ class ByteBpe:
 
     def stable(self, a: int, b: int) -> bool:
         """Whether the two tokens side by side encode to themselves."""
-        known = self._pairs.get((a, b))
-        if known is None:
-            if len(self._pairs) > 1_000_000:
-                self._pairs.clear()
-            known = self._pairs[a, b] = self.merged(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
-        return known
+        return self.merged(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
 
     def join(self, a: list[int], b: list[int]) -> list[int]:
         """The encoding of the bytes of ``a`` and ``b``, both encodings themselves."""
         if not a or not b:
             return a or b
-        if self.stable(a[-1], b[0]):
+        of = self.bytes_of
+        if self.merged(of[a[-1]] + of[b[0]]) == [a[-1], b[0]]:
             return a + b
         i = j = 1
         while True:
             i, j = min(i, len(a)), min(j, len(b))
-            window = b"".join(map(self.bytes_of.__getitem__, a[len(a) - i :] + b[:j]))
-            tokens = self.merged(window) if len(window) <= 4 * LEAF else self.merged_long(window)
+            tokens = self.merged(b"".join([of[x] for x in a[len(a) - i :] + b[:j]]))
             left = i == len(a) or self.stable(a[-i - 1], tokens[0])
             right = j == len(b) or self.stable(tokens[-1], b[j])
             if left and right:
@@ -136,56 +138,94 @@ class ByteBpe:
 
     def encode_bytes(self, data: bytes) -> list[int]:
         """One piece of the pattern; the tree's depth is the logarithm of its length. Short halves are kept."""
-        known = self._merged.get(data)
-        if known is not None:
-            return known
+        return list(self._by_halves(data)) if data else []
+
+    def _by_halves(self, data: bytes) -> list[int]:
         whole = self.ranks.get(data)
         if whole is not None:
-            known = [whole]
-        elif len(data) <= LEAF:
-            return self.merged(data)
-        else:
-            half = len(data) // 2
-            known = self.join(self.encode_bytes(data[:half]), self.encode_bytes(data[half:]))
-        if len(data) <= 4 * LEAF:
-            if len(self._merged) >= KEPT_LEAVES:
-                self._merged.clear()
-            self._merged[data] = known
-        return known
-
-    def _chunk(self, chunk: str) -> tuple[tuple[int, ...], str]:
-        """Ids of a stretch that no piece of the pattern leaves, and the ids as text."""
-        ids = tuple(chain.from_iterable(self.encode_bytes(p.encode("utf-8", "replace")) for p in self.cut(chunk)))
-        found = ids, " ".join(map(str, ids))
-        if len(chunk) <= KEPT_LENGTH:
-            if len(self._chunks) >= KEPT_CHUNKS:
-                self._chunks.clear()
-            self._chunks[chunk] = found
-        return found
-
-    def chunks(self, text: str) -> list[tuple[tuple[int, ...], str]]:
-        """Encodings of the stretches of a text, in order.
+            return [whole]
+        if len(data) <= LEAF:
+            return self._merge(data)
+        half = len(data) // 2
+        if half < KEPT_BYTES:
+            return self.join(self._halves[data[:half]], self._halves[data[half:]])
+        return self.join(self._by_halves(data[:half]), self._by_halves(data[half:]))
+
+    def _cut(self, text: str) -> bytes:
+        ids: list[int] = []
+        for piece in self.cut(text):
+            ids += self._by_halves(piece.encode("utf-8", "replace"))
+        return array("i", ids).tobytes()
+
+    def stretch(self, text: str) -> bytes:
+        """Ids, as int32, of a stretch that no piece of the pattern leaves."""
+        return self._stretches[text] if len(text) <= KEPT_LENGTH else self._cut(text)
+
+    def encode_lot(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (no nulls) on end, and where each text's begin; one more at the end.
 
         A space between two characters that are not white space starts a piece
         of the pattern and ends the one before, so texts part there exactly.
+        Each distinct stretch of the lot is encoded once.
         """
-        parts = text.split(" ") if not BESIDE_SPACE(text) else LONE_SPACE(text)
-        known, make = self._chunks.get, self._chunk
-        out = [known(parts[0]) or make(parts[0])] if parts[0] else []
-        out += [known(c) or make(c) for c in map(" ".__add__, parts[1:])]
-        return out
+        texts = texts.cast(pa.large_string())
+        parts = pc.split_pattern(texts, " ")
+        beside = np.flatnonzero(pc.match_substring_regex(texts, BESIDE_SPACE).to_numpy(zero_copy_only=False))
+        if len(beside):
+            rows = parts.to_pylist()
+            for i in beside:
+                rows[i] = LONE_SPACE(texts[int(i)].as_py())
+            parts = pa.array(rows, pa.large_list(pa.large_string()))
+        at = parts.offsets.to_numpy()
+        found = parts.flatten().dictionary_encode()
+        # Of each distinct stretch there are two: as the beginning of a text, and after its space.
+        code = found.indices.to_numpy().astype(np.int64) * 2 + 1
+        begin = at[:-1][at[1:] > at[:-1]] - at[0]
+        code[begin] -= 1
+        met = np.zeros(2 * len(found.dictionary), bool)
+        met[code] = True
+        used = np.flatnonzero(met)
+        place = np.zeros(len(met), np.int64)
+        place[used] = np.arange(len(used))
+        words = found.dictionary.take(pa.array(used >> 1)).to_pylist()
+        ids = [self.stretch(" " + w if c else w) for w, c in zip(words, (used & 1).tolist(), strict=True)]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
+        flat = np.frombuffer(b"".join(ids), np.int32)
+        code = place[code]
+        n = sizes[code]
+        ends = np.cumsum(n)
+        first = (np.cumsum(sizes) - sizes)[code]
+        out = flat[np.repeat(first - (ends - n), n) + np.arange(int(n.sum()))]
+        return out, np.r_[0, ends][at - at[0]]
 
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(ids for ids, _ in self.chunks(text)))
+        return self.encode_lot(pa.array([text]))[0].tolist()
 
-    def decode(self, ids: list[int]) -> bytes:
+    def decode(self, ids) -> bytes:
         """Concatenates up the tree of halves; leaves are runs of ids."""
-        if len(ids) <= 4096:
-            return b"".join(map(self.bytes_of.__getitem__, ids))
+        ids = np.asarray(ids, np.int64)
+        if len(ids) <= DECODE_LEAF:
+            return _joined(self.data, ids)
         half = len(ids) // 2
         return self.decode(ids[:half]) + self.decode(ids[half:])
 
 
+def _joined(of: pa.Array, ids: np.ndarray) -> bytes:
+    found = of.take(pa.array(ids)) if len(ids) else None
+    return found.buffers()[2].to_pybytes() if found is not None and found.buffers()[2] is not None else b""
+
+
+def lots(texts: pa.Array):
+    """(start, end) of runs of rows with about ``LOT_BYTES`` of text; a row is never parted."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype(np.int64))
+    start = 0
+    while start < len(ends):
+        before = ends[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(ends, before + LOT_BYTES, "right")))
+        yield start, end
+        start = end
+
+
 @lru_cache(maxsize=4)
 def loaded(path: str, pattern: str) -> ByteBpe:
     found = ByteBpe.load(path, pattern)
@@ -202,10 +242,11 @@ def default_vocabulary() -> tuple[str, str]:
 def _encoded(path: str | None, pattern: str | None):
     def run(batches):
         focus("bpe")
-        where = (path, pattern) if path else default_vocabulary()
-        bpe = loaded(*where)
+        bpe = loaded(*((path, pattern) if path else default_vocabulary()))
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([bpe.encode(t) if t else [] for t in b.column(1).to_pylist()], pa.list_(pa.int32()))], ["doc_id", "ids"])
+            for lo, hi in lots(b.column(1)):
+                ids, at = bpe.encode_lot(pc.fill_null(b.column(1).slice(lo, hi - lo), ""))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids))], ["doc_id", "ids"])
 
     return run
 
@@ -214,7 +255,8 @@ def encode(documents: DataFrame, path: str | None = None, pattern: str | None =
     """doc_id and ids (array of int) of every whole text; null and empty texts have no ids.
 
     ``path`` is read on the executors; by default it is the public byte-level
-    vocabulary of 50,256 ranks. Rows may repeat; other columns are not read.
+    vocabulary of 50,256 ranks. Rows may repeat, an empty table gives none;
+    other columns are not read.
     """
     return documents.select("doc_id", "text").mapInArrow(_encoded(path, pattern), _schema(documents, "ids array<int>"))
 
@@ -224,7 +266,7 @@ def _schema(documents: DataFrame, rest: str) -> str:
 
 
 def decode(encoded: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """doc_id and data (the bytes) of ``encode``'s rows; null ids give no bytes."""
+    """doc_id and data (the bytes) of ``encode``'s rows; null ids give no bytes. Rows may repeat."""
 
     def run(batches):
         focus("bpe")
@@ -235,21 +277,35 @@ def decode(encoded: DataFrame, path: str | None = None, pattern: str | None = No
     return encoded.select("doc_id", "ids").mapInArrow(run, _schema(encoded, "data binary"))
 
 
+def _digests(data: bytes, ends: np.ndarray, skip: int) -> list[str]:
+    """SHA-256 of each stretch of ``data`` that ends at ``ends``, without its first ``skip`` bytes."""
+    view, begin, out = memoryview(data), 0, []
+    for end in ends.tolist():
+        out.append(hashlib.sha256(view[min(begin + skip, end) : end]).hexdigest())
+        begin = end
+    return out
+
+
 def round_trip(documents: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256, encoded and decoded in one pass over the texts."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, encoded and decoded in one pass over the texts.
+
+    Null and empty texts have no ids and the digests of nothing. Rows may
+    repeat and are each encoded; other columns are not read; an empty table
+    gives an empty result.
+    """
 
     def run(batches):
         focus("bpe")
         bpe = loaded(*((path, pattern) if path else default_vocabulary()))
         for b in batches:
-            counts, ids_sha, data_sha = [], [], []
-            for t in b.column(1).to_pylist():
-                parts = bpe.chunks(t) if t else []
-                ids = list(chain.from_iterable(x for x, _ in parts))
-                counts.append(len(ids))
-                ids_sha.append(hashlib.sha256(" ".join([x for _, x in parts]).encode()).hexdigest())
-                data_sha.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(data_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            for lo, hi in lots(b.column(1)):
+                ids, at = bpe.encode_lot(pc.fill_null(b.column(1).slice(lo, hi - lo), ""))
+                shown = np.r_[0, np.cumsum(bpe.shown_size[ids])][at[1:]]
+                data = np.r_[0, np.cumsum(bpe.data_size[ids])][at[1:]]
+                yield pa.RecordBatch.from_arrays([
+                    b.column(0).slice(lo, hi - lo), pa.array(np.diff(at).astype(np.int64)),
+                    pa.array(_digests(_joined(bpe.shown, ids), shown, 1)), pa.array(_digests(bpe.decode(ids), data, 0)),
+                ], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return documents.select("doc_id", "text").mapInArrow(run, _schema(documents, "n_tokens long, ids_sha256 string, decoded_sha256 string"))
 

@@ -85,16 +85,26 @@ def focus(operator: str) -> None:
                 c.clear()
 
 
-class WordHashes(dict):
-    """64-bit hashes of byte strings, kept while the vocabulary is small."""
+class Kept(dict):
+    """``make(key)`` of each key asked for, the latest ``2 * limit`` of them kept, in two generations."""
 
-    LIMIT = 300_000
+    def __init__(self, make, limit: int = 100_000):
+        super().__init__()
+        self.make, self.limit, self.before = make, limit, {}
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
+    def __missing__(self, key):
+        found = self.before.get(key)
+        if found is None:
+            found = self.make(key)
+        if len(self) >= self.limit:
+            self.before = self.copy()
+            super().clear()
+        self[key] = found
+        return found
+
+    def clear(self) -> None:
+        super().clear()
+        self.before = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -112,7 +122,7 @@ def window_hashes(h: np.ndarray, n: int) -> np.ndarray:
     return x
 
 
-_cache = WordHashes()
+_cache = Kept(xxhash.xxh3_64_intdigest)
 keeps("words", _cache)
 
 

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import focus, keeps, saved, sized, window_hashes
+from .common import Kept, focus, keeps, saved, sized, window_hashes
 
 #: Template words in a window.
 WINDOW = 8
@@ -57,35 +57,28 @@ NUM, NAME, UNIT = np.uint64(1), np.uint64(2), np.uint64(3)
 IN = np.uint64(4)
 
 
-class Words(dict):
+def word_form(word: str) -> int:
     """Per word a number: bit 0, it ends a sentence; bit 1, it looks like a name; the rest, its template form.
 
     Forms are 0 (marks alone), NUM, UNIT or a hash of the lower-cased word.
     """
-
-    LIMIT = 300_000
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        core = word.strip(EDGES)
-        low, name = core.lower(), False
-        if not core:
-            form = 0
-        elif NUMBER.fullmatch(core) or low in NUMBER_WORDS:
-            form = int(NUM)
-        elif low in UNITS:
-            form = int(UNIT)
-        elif low == "in":
-            form = int(IN)
-        else:
-            form = (xxhash.xxh3_64_intdigest(low.encode("utf-8", "replace")) | 4) >> 2 | 4
-            name = core[0].isupper() and not (len(core) > 1 and core.isupper())
-        found = self[word] = form << 2 | name << 1 | (word.rstrip("\"')]}”’»")[-1:] in (".", "!", "?"))
-        return found
-
-
-_words = Words()
+    core = word.strip(EDGES)
+    low, name = core.lower(), False
+    if not core:
+        form = 0
+    elif NUMBER.fullmatch(core) or low in NUMBER_WORDS:
+        form = int(NUM)
+    elif low in UNITS:
+        form = int(UNIT)
+    elif low == "in":
+        form = int(IN)
+    else:
+        form = (xxhash.xxh3_64_intdigest(low.encode("utf-8", "replace")) | 4) >> 2 | 4
+        name = core[0].isupper() and not (len(core) > 1 and core.isupper())
+    return form << 2 | name << 1 | (word.rstrip("\"')]}”’»")[-1:] in (".", "!", "?"))
+
+
+_words = Kept(word_form)
 keeps("templates", _words)
 
 

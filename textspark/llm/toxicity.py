@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import focus, keeps
+from .common import Kept, focus, keeps
 from .linear import chosen_features, fit_dense, labelled_sample, sigmoid
 
 BUCKETS = 1 << 18
@@ -55,19 +55,12 @@ def _bucket(feature: str) -> int:
     return xxhash.xxh32_intdigest(feature.encode("utf-8", "replace")) % BUCKETS
 
 
-class Buckets(dict):
-    """Per word the buckets of itself and of its beginnings."""
+def word_buckets(word: str) -> tuple[int, ...]:
+    """The buckets of a word and of its beginnings."""
+    return (_bucket(word), *[_bucket(f"^{word[:k]}") for k in BEGINNINGS if len(word) >= k])
 
-    LIMIT = 300_000
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        b = self[word] = (_bucket(word), *[_bucket(f"^{word[:k]}") for k in BEGINNINGS if len(word) >= k])
-        return b
-
-
-_buckets = Buckets()
+_buckets = Kept(word_buckets)
 keeps("toxicity", _buckets)
 
 
