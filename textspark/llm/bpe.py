@@ -36,13 +36,14 @@ from .common import Kept, focus, keeps
 
 #: Byte strings up to this length are merged directly.
 LEAF = 4
-#: Short byte strings and stretches of text whose encodings a worker keeps, twice as many at most, and the longest (bytes, code points).
-KEPT_LEAVES = 100_000
-KEPT_STRETCHES = 200_000
+#: Short byte strings, pairs of tokens and stretches of text of which a worker keeps what was found, twice as many at most; the longest (bytes, code points).
+KEPT_LEAVES = 50_000
+KEPT_PAIRS = 100_000
+KEPT_STRETCHES = 100_000
 KEPT_BYTES = 16
 KEPT_LENGTH = 48
 #: Bytes of text that are worked on at a time; a longer text is a lot of its own.
-LOT_BYTES = 4 << 20
+LOT_BYTES = 2 << 20
 #: Ids that a leaf of the decoding tree concatenates at once.
 DECODE_LEAF = 1 << 20
 #: Characters that any of the pattern's white space classes may take, as an RE2 class.
@@ -59,6 +60,7 @@ class ByteBpe:
             self.bytes_of[rank] = token
         self.cut = regex.compile(pattern).findall
         self._merged = Kept(self._merge, KEPT_LEAVES)
+        self._pairs = Kept(self._stable, KEPT_PAIRS)
         self._halves = Kept(self._by_halves, KEPT_LEAVES)
         self._stretches = Kept(self._cut, KEPT_STRETCHES)
         # The bytes of each id, and each id as text after a space, for joining many at once.
@@ -69,7 +71,7 @@ class ByteBpe:
 
     def clear(self) -> None:
         """Drops what has been kept; the vocabulary stays."""
-        for kept in (self._stretches, self._halves, self._merged):
+        for kept in (self._stretches, self._halves, self._merged, self._pairs):
             kept.clear()
 
     @classmethod
@@ -96,21 +98,26 @@ class ByteBpe:
 
     def stable(self, a: int, b: int) -> bool:
         """Whether the two tokens side by side encode to themselves."""
-        return self.merged(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
+        return self._pairs[a << 32 | b]
+
+    def _stable(self, pair: int) -> bool:
+        a, b = pair >> 32, pair & 0xFFFFFFFF
+        data = self.bytes_of[a] + self.bytes_of[b]
+        return (self._merge(data) if len(data) <= KEPT_BYTES else self.merged_long(data)) == [a, b]
 
     def join(self, a: list[int], b: list[int]) -> list[int]:
         """The encoding of the bytes of ``a`` and ``b``, both encodings themselves."""
         if not a or not b:
             return a or b
-        of = self.bytes_of
-        if self.merged(of[a[-1]] + of[b[0]]) == [a[-1], b[0]]:
+        if self._pairs[a[-1] << 32 | b[0]]:
             return a + b
+        of, stable = self.bytes_of, self._pairs
         i = j = 1
         while True:
             i, j = min(i, len(a)), min(j, len(b))
             tokens = self.merged(b"".join([of[x] for x in a[len(a) - i :] + b[:j]]))
-            left = i == len(a) or self.stable(a[-i - 1], tokens[0])
-            right = j == len(b) or self.stable(tokens[-1], b[j])
+            left = i == len(a) or stable[a[-i - 1] << 32 | tokens[0]]
+            right = j == len(b) or stable[tokens[-1] << 32 | b[j]]
             if left and right:
                 return a[: len(a) - i] + tokens + b[j:]
             i, j = (i if left else 2 * i), (j if right else 2 * j)
