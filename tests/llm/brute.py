@@ -64,3 +64,14 @@ def components(texts, n, num, den):
                 x, y = root(a), root(b)
                 parent[max(x, y)] = min(x, y)
     return {i: root(i) for i in ids}, {i: len(s) for i, s in sets.items()}
+
+
+def best_region(words, tags):
+    """The run of blocks with the highest sum, by looking at every run; tags count between blocks of the run."""
+    best, found = 0, (0, 0)
+    for lo in range(len(words)):
+        for hi in range(lo + 1, len(words) + 1):
+            total = sum(words[lo:hi]) + sum(tags[lo + 1 : hi])
+            if total > best:
+                best, found = total, (lo, hi)
+    return best, found

@@ -4,6 +4,7 @@ import hashlib
 import os
 import random
 import sys
+from collections import Counter
 
 import pytest
 import tiktoken
@@ -163,6 +164,49 @@ def test_main_text(spark, body, expected):
     assert (got.page_id, got.url, got.text, got.n_chars) == (1, "u", expected, len(expected))
 
 
+LONG = "The text of the page goes on for quite a while here and has more than twelve words in it."
+
+
+@pytest.mark.parametrize("page,expected", [
+    (f"<html><head><title>T</title><p>{LONG}</p><p>Second one.</p></html>", f"{LONG}\nSecond one."),  # no end of head
+    (f"<html><head><title>T</title>{LONG}", LONG),
+    (f'<body><nav><a href="/">a</a></nav><div class="post tag-menu"><h1>Title here</h1><p>{LONG}</p></div></body>', f"Title here\n{LONG}"),
+    (f'<body><div class="post category-social"><p>{LONG}</p></div></body>', LONG),
+    (f'<body><div class="entry print"><h1>Title</h1><p>{LONG}</p><div class="ad">buy this now</div><p>More of it.</p></div></body>', f"Title\n{LONG}\nMore of it."),
+    (f'<body><article><h3>Read on</h3><p>Short teaser of another page.</p></article><div><h1>Title</h1><p>{LONG * 4}</p><p>{LONG}</p></div></body>', f"Title\n{LONG * 4}\n{LONG}"),
+    (f'<body><form id="aspnet"><h1>Title</h1><p>{LONG}</p></form></body>', f"Title\n{LONG}"),
+    (f'<body><div id="content"><h1>Title</h1><p>{LONG}</p></div><div id="comments">' + "<p>I think that this is bad or good</p>" * 20 + "</div></body>", f"Title\n{LONG}"),
+    (f"<body><div><p>{LONG}</p></div>" + "<div></div>" * 500 + "<div><p>Text far away, without any name.</p></div></body>", LONG),  # every tag costs
+    (f"<body><main><h1>Title</h1><h3>Part one</h3><p>{LONG}</p><h4>Part two</h4><p>{LONG}</p></main></body>", f"Title\nPart one\n{LONG}\nPart two\n{LONG}"),
+    (f'<body><div><p>{LONG}</p></div><div><a href="/x">Next page</a> <a href="/y">Print</a></div></body>', LONG),  # only the scan can tell
+])
+def test_region(page, expected):
+    assert "\n".join(html_mss.main_blocks(page)) == expected
+
+
+def test_region_is_the_best_of_all():
+    rnd = random.Random(9)
+    for _ in range(400):
+        n = rnd.randint(0, 12)
+        words, tags = [rnd.randint(-9, 9) for _ in range(n)], [-rnd.randint(0, 5) for _ in range(n)]
+        lo, hi = html_mss.best_region(words, tags)
+        assert sum(words[lo:hi]) + sum(tags[lo + 1 : hi]) == brute.best_region(words, tags)[0]
+
+
+def test_scan_decides_on_composed_pages():
+    right = decided = blocks = 0
+    pages = html_mss.labelled_pages()
+    for parts in pages:
+        page = "".join(x for x, _ in parts)
+        truth = [b.text for x, main in parts if main for b in html_mss.blocks_of(x)[0]]
+        stream, _, _ = html_mss.scored(page)
+        got = html_mss.main_blocks(page)
+        decided += len(got) < len(stream)
+        blocks += max(len(truth), len(got))
+        right += sum((Counter(truth) & Counter(got)).values())
+    assert decided > 0.2 * len(pages) and right > 0.93 * blocks, (decided, len(pages), right, blocks)
+
+
 def test_odd_pages(spark):
     odd = [None, "", "  ", "<", "<p", "plain text only", "<a href='x", "&lt;b&gt; &am &amp x", "<!-- unclosed", "<script>x", "<p>" * 3000, "<" * 50_000, "<div class='ad'>only an advert here</div>", "x" * 300_000, "</p></div>a b c"]
     got = html_mss.main_text(spark.createDataFrame([(i, None, h) for i, h in enumerate(odd)] * 2, "page_id long, url string, html string")).collect()

@@ -1,13 +1,16 @@
 """Main text of HTML pages by the maximum-scoring subsequence.
 
-A page is read as a stream of words and tags. Words score by what labelled
-pages say of the elements around them, tags score negative by how seldom they
-are part of main text; one linear scan finds the contiguous region of the
-highest sum. Elements in the region that are boilerplate of their own (adverts,
-asides, forms, comments, ...) are left out of it.
-
-The weights are naive-Bayes log odds learnt from ``labelled_pages()``: pages
-composed of typical parts, each part marked as main text or not.
+A page is read as a stream of words and tags. Words score by the chance that
+their block is main text, tags score negative by how seldom they are part of
+it; one linear scan finds the contiguous region of the highest sum.
+
+The weights are a logistic regression on features of blocks, learnt from
+``labelled_pages()``: pages composed of typical parts, each part marked as main
+text or not. Names of classes, semantic elements and roles are features among
+others (link density, length, element, place in an article, and whether the
+element with the name holds most of the page), so none of them decides alone.
+An element that such features mark, and whose words sum to less than nothing,
+is no part of the stream: it is left out of a region round it.
 """
 
 from __future__ import annotations
@@ -18,9 +21,12 @@ import re
 from collections import Counter
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .linear import fit_dense
+
 #: Elements inside a block; any other tag ends the block.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark meter nobr output q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img picture source svg path map area br".split())
 #: Elements without content of their own.
@@ -44,8 +50,17 @@ APART_NAMES = frozenset("""
 #: First words of names that only tell of such elements, and last words of names of the page's layout.
 NEGATING = frozenset("no has with without not hide show after before".split())
 LAYOUT = frozenset("wrap wrapper container layout page content main article body story post".split())
+#: First words of names that tell the subject or the kind of a post, and names of a post itself.
+TAXONOMY = frozenset("tag category cat type format status topic section label".split())
+CONTENT = frozenset("article content entry hentry main post story text body".split())
 #: Elements that hold the page or its article, whatever their class.
 WHOLE = frozenset(("html", "body", "main", "article"))
+#: Score of a tag that only parts boilerplate; a word that is surely main text scores 1.
+TAG_COST = 0.3
+#: What may be in a head; anything else ends it.
+IN_HEAD = frozenset("base link meta noscript script style template title".split())
+#: Share of the page's words outside links with which an element holds the page: if it has the page's heading, and otherwise if it has so many words.
+MOST, ALL, MANY = 0.5, 0.9, 30
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 #: Start tags that end an open element of the same group.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -58,60 +73,77 @@ SPREAD = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 
 @lru_cache(maxsize=20_000)
 def apart_name(name: str) -> bool:
-    """Whether a class or id marks boilerplate: by its last word, or its first if its last is no part of the layout."""
+    """Whether a class or id tells of boilerplate: by its last word, or its first if its last is no part of the layout."""
     words = PARTS.findall(SPREAD.sub(" ", name).lower())
-    if not words or words[0] in NEGATING:
+    if not words or words[0] in NEGATING or len(words) > 1 and words[0] in TAXONOMY:
         return False
     return words[-1] in APART_NAMES or words[0] in APART_NAMES and words[-1] not in LAYOUT
 
 
-def marks_of(attributes: str) -> tuple[bool, bool]:
-    """Whether class, id or role mark boilerplate, and whether the element is hidden."""
-    apart = hidden = False
+def marks_of(attributes: str) -> tuple[bool, bool, bool]:
+    """Whether class, id or role tell of boilerplate, whether they tell of content, and whether the element is hidden."""
+    apart = content = hidden = False
     for k, a, b, c in NAMES.findall(attributes):
         k, v = k.lower(), a or b or c
         if k in ("class", "id"):
-            apart = apart or any(map(apart_name, v.split()))
+            names = v.split()
+            apart = apart or any(map(apart_name, names))
+            content = content or not CONTENT.isdisjoint(x.lower() for x in names)
         elif k == "role":
             apart = apart or v.strip().lower() in APART_ROLES
+            content = content or v.strip().lower() in ("main", "article")
         elif k == "hidden" or k == "aria-hidden" and v.lower() == "true":
             hidden = True
         elif k == "style" and re.search(r"display\s*:\s*none", v, re.I):
             hidden = True
-    return apart, hidden
+    return apart, content, hidden
+
+
+class Element:
+    """An element that is marked in some way: its marks, its blocks and tags, its words outside links, and whether it holds the page's heading."""
+
+    __slots__ = ("first", "first_tag", "holds", "last", "last_tag", "marks", "plain")
+
+    def __init__(self, marks: tuple[str, ...], first: int, first_tag: int):
+        self.marks, self.first, self.last, self.first_tag, self.last_tag, self.plain, self.holds = marks, first, first, first_tag, first_tag, 0, False
 
 
 class Block:
-    __slots__ = ("apart", "article", "linked", "path", "tags", "text", "words")
+    __slots__ = ("article", "inside", "linked", "path", "tags", "text", "words")
 
-    def __init__(self, text: str, words: int, linked: int, path: tuple[str, ...], tags: list[str], apart: bool, article: bool):
-        self.text, self.words, self.linked, self.path, self.tags, self.apart, self.article = text, words, linked, path, tags, apart, article
+    def __init__(self, text: str, words: int, linked: int, path: tuple[str, ...], tags: int, inside: tuple[Element, ...], article: bool):
+        self.text, self.words, self.linked, self.path, self.tags, self.inside, self.article = text, words, linked, path, tags, inside, article
 
 
-def blocks_of(page: str) -> tuple[list[Block], list[str]]:
-    """Blocks of text in page order, each with the tags since the one before; the tags after the last."""
+def blocks_of(page: str) -> tuple[list[Block], list[Element], list[str]]:
+    """In page order: blocks of text, each with the count of tags before it; the marked elements; the tags between blocks."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, apart, silent
+    elements: list[Element] = []
+    stack: list[tuple[str, Element | None, bool]] = []  # name, marks, silent
     parts: list[str] = []
     tags: list[str] = []
-    linked = apart = silent = links = article = 0
+    linked = silent = links = article = 0
     pos, end, find = 0, len(page), page.find
 
     def flush() -> None:
-        nonlocal linked, tags
+        nonlocal linked
         if parts:
             words = entities.unescape("".join(parts)).split()
             if words:
-                out.append(Block(" ".join(words), len(words), min(linked, len(words)), tuple(x[0] for x in stack if x[0] not in INLINE), tags, apart > 0, article > 0))
-                tags = []
+                inside = tuple(x[1] for x in stack if x[1] is not None)
+                b = Block(" ".join(words), len(words), min(linked, len(words)), tuple(x[0] for x in stack if x[0] not in INLINE), len(tags), inside, article > 0)
+                for e in inside:
+                    e.plain += b.words - b.linked
+                out.append(b)
             parts.clear()
             linked = 0
 
-    def pop(to: int) -> None:
-        nonlocal apart, silent, links, article
+    def pop(to: int, new: int = 0) -> None:
+        nonlocal silent, links, article
         while len(stack) > to:
-            name, a, s = stack.pop()
-            apart -= a
+            name, e, s = stack.pop()
+            if e is not None:
+                e.last, e.last_tag = len(out), len(tags) - new
             silent -= s
             links -= name == "a"
             article -= name in ("article", "main")
@@ -120,6 +152,8 @@ def blocks_of(page: str) -> tuple[list[Block], list[str]]:
         at = find("<", pos)
         if at < 0:
             at = end
+        if at > pos and silent and stack[-1][0] == "head" and not page[pos:at].isspace():
+            pop(len(stack) - 1)
         if at > pos and not silent:
             parts.append(page[pos:at])
             if links:
@@ -153,27 +187,38 @@ def blocks_of(page: str) -> tuple[list[Block], list[str]]:
                     pop(i)
                     break
             continue
+        if silent and name not in IN_HEAD and any(x[0] == "head" for x in stack):
+            pop(next(i for i, x in enumerate(stack) if x[0] == "head"))
         if name in ENDS_P:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == "p":
-                    pop(i)
+                    pop(i, 1)
                     break
                 if stack[i][0] in ("td", "th", "li", "article", "div", "section", "button"):
                     break
         elif name in CLOSES:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] in CLOSES[name]:
-                    pop(i)
+                    pop(i, 1)
                     break
                 if stack[i][0] in ("ul", "ol", "dl", "table", "div"):
                     break
         if name in VOID or m[2].endswith("/") and name in INLINE:
             continue
-        marked, hidden = marks_of(m[2]) if m[2] else (False, False)
-        a = name in APART and not (name == "header" and article) or marked and name not in WHOLE and name not in HEADINGS
+        apart, content, hidden = marks_of(m[2]) if m[2] else (False, False, False)
+        marks = [f"element {name}"] if name in APART and not (name == "header" and article) else []
+        if name not in WHOLE and name not in HEADINGS and name not in INLINE:
+            marks += ["name apart"] * apart + ["name content"] * content
+        e = None
+        if marks:
+            e = Element(tuple(marks), len(out), len(tags) - (name not in SILENT))
+            elements.append(e)
+        if name in ("h1", "main") and not silent:
+            for x in stack:
+                if x[1] is not None:
+                    x[1].holds = True
         s = name in SILENT or hidden
-        stack.append((name, a, s))
-        apart += a
+        stack.append((name, e, s))
         silent += s
         links += name == "a"
         article += name in ("article", "main")
@@ -181,91 +226,157 @@ def blocks_of(page: str) -> tuple[list[Block], list[str]]:
             close = re.compile(rf"</{name}\b", re.I).search(page, pos)
             pos = end if close is None else close.start()
     flush()
-    return out, tags
-
-
-def features(b: Block, page_has_article: bool) -> tuple[str, ...]:
-    density = b.linked / b.words
-    inner = b.path[-1] if b.path else ""
-    return (
-        "apart" if b.apart else "plain",
-        "article" if b.article else "outside" if page_has_article else "no article",
-        "links" if density > 0.5 else "some links" if density > 0.2 else "no links",
-        f"in {inner}" if inner in HEADINGS or inner in ("p", "li", "td", "div", "blockquote", "pre", "dd", "figcaption") else "in other",
-        "long" if b.words >= 12 else "middle" if b.words >= 4 else "short",
-    )
+    pop(0)
+    return out, elements, tags
+
+
+def features(found: list[Block]) -> list[set[str]]:
+    """The features of each block of a page."""
+    plain = sum(b.words - b.linked for b in found) or 1
+    out = []
+    free = free_in_article = 0  # words outside links, and outside elements that are marked and do not hold the page
+    for b in found:
+        density = b.linked / b.words
+        inner = b.path[-1] if b.path else ""
+        marks = {
+            "links" if density > 0.5 else "some links" if density > 0.2 else "no links",
+            f"in {inner}" if inner in HEADINGS or inner in ("p", "li", "td", "div", "blockquote", "pre", "dd", "figcaption") else "in other",
+            "long" if b.words >= 12 else "middle" if b.words >= 4 else "short",
+        }
+        apart = False
+        for e in b.inside:
+            share = e.plain / plain
+            holds = share >= ALL and e.plain >= MANY or share >= MOST and e.holds
+            marks.update(f"{x}, holds the page" if holds else x for x in e.marks)
+            apart = apart or not holds and e.marks != ("name content",)
+        if not apart:
+            free += b.words - b.linked
+            free_in_article += (b.words - b.linked) * b.article
+        out.append(marks)
+    has = free_in_article >= MOST * free > 0
+    for b, marks in zip(found, out, strict=True):
+        marks.add(("in article" if b.article else "outside") if has else "in teaser" if b.article else "no article")
+    return out
+
+
+def _part(kind: str, k: int) -> str:
+    """Parts of composed pages that are no main text; ``k`` varies names and sizes."""
+    prose = lambda n, seed: " ".join(f"word{(seed * 31 + i * 7) % 97}" for i in range(n))
+    links = lambda n: "".join(f'<li><a href="/{i}">item{i}</a></li>' for i in range(n))
+    size = (6, 15, 30, 60)[k % 4]
+    mark = ("class", "id")[k % 2]
+    if kind == "named":
+        name = ("advert", "sidebar", "cookie-notice", "comments", "related-posts", "newsletter", "social-share", "promo-banner", "breadcrumbs", "disclaimer")[k % 10]
+        inner = f"<p>{prose(size, k)}</p><p>{prose(4, k + 1)}</p>" if k % 3 else prose(size, k)
+        return f'<div {mark}="{name}">{inner}</div>'
+    if kind == "element":
+        name = ("nav", "header", "footer", "aside", "form", "menu", "dialog", "search", "fieldset")[k % 9]
+        inner = f"<ul>{links(3 + k % 6)}</ul>" if name in ("nav", "menu") and k % 2 else prose(1 + k % 3, k) if k % 5 == 0 else f"<p>{prose(size, k)}</p>" if k % 2 else prose(size, k)
+        return f"<{name}>{inner}</{name}>"
+    if kind == "role":
+        return f'<div role="{("navigation", "banner", "contentinfo", "complementary")[k % 4]}">{prose(size, k)}</div>'
+    if kind == "links":
+        return (f"<ul>{links(4 + k % 5)}</ul>", f'<p><a href="/x">{prose(3, k)}</a> <a href="/y">{prose(3, k + 1)}</a></p>', f'<div><a href="/a">{prose(5, k)}</a></div>')[k % 3]
+    return (f'<p>Home <a href="/n">News</a></p>', f"<p>{prose(3, k)}</p>", f"<div>{prose(2, k)}</div>", f"<h3>{prose(2, k)}</h3>")[k % 4]  # plain
 
 
 def labelled_pages() -> list[list[tuple[str, bool]]]:
-    """Pages as parts (html, is main text), composed from the parts below in many layouts."""
+    """Pages as parts (html, is main text), composed in many layouts: articles, plain pages, forms and named wrappers round a whole page, teasers."""
     def prose(n: int, seed: int) -> str:
         return " ".join(f"word{(seed * 31 + i * 7) % 97}" for i in range(n))
 
-    links = lambda n: "".join(f'<li><a href="/{i}">item{i}</a></li>' for i in range(n))
     pages = []
-    for k in range(96):
-        wrap = ("article", "main", "div", "section")[k % 4]
-        before = [f"<body><nav><ul>{links(3 + k % 6)}</ul></nav>", '<header class="top"><a href="/">Site</a> Slogan here</header>', f'<div class="ad">{prose(8, k)}</div>', '<div class="cookie-notice">We use cookies <button>OK</button></div>', '<div id="menu"><a href="/a">A</a> <a href="/b">B</a></div>', "<p>Home &gt; News</p>"]
-        after = [f"<aside><h3>Related</h3><ul>{links(4)}</ul></aside>", f'<div class="comments"><p>{prose(15, k + 3)}</p><p>{prose(4, k)}</p></div>', '<form action="/s"><label>Mail</label><input name="m"></form>', f"<footer>&copy; 2020 {prose(6, k)}</footer></body>", f'<div><a href="/x">{prose(3, k)}</a> <a href="/y">{prose(3, k + 1)}</a></div>']
-        body = [f"<h1>{prose(4 + k % 7, k)}</h1>"]
-        for i in range(2 + k % 5):
-            element = ("p", "p", "p", "div", "td")[k % 5]  # some pages lay text out in plain elements
-            body.append(f"<{element}>{prose((3, 18, 40, 75, 1)[(k + i) % 5], k + i)}</{element}>" if k % 7 else prose(30, i) + "<hr>")
+    for k in range(240):
+        wrap = ("article", "main", 'div class="content"', "div", "section", 'div class="post tag-menu"', 'div id="print"', "form")[k % 8]
+        parts = [("<body>", False)]
+        for kind, every in (("element", 1), ("named", 2), ("role", 7), ("links", 3), ("plain", 4)):
+            if (k // 2) % every == 0:
+                parts.append((_part(kind, k), False))
+        if k % 6 == 5 and wrap not in ("article", "main"):
+            parts.append((f"<article><h3>{prose(3, k)}</h3><p>{prose(8, k)}</p></article>", False))
+        parts.append((f"<{wrap}>", False))
+        if k % 5 != 4:
+            parts.append((f"<h1>{prose(4 + k % 7, k)}</h1>", True))
+        for i in range(1 + k % 6):
+            element = ("p", "p", "p", "div", "td")[(k // 3) % 5]  # some pages lay text out in plain elements
+            parts.append((f"<{element}>{prose((3, 18, 40, 75, 1, 9)[(k + i) % 6], k + i)}</{element}>" if k % 7 else prose(30, i) + "<hr>", True))
             if (k + i) % 4 == 0:
-                body += [f"<h2>{prose(3, i)}</h2>", f"<ul><li>{prose(7, i)}</li><li>{prose(5, i + 1)}</li></ul>", f"<blockquote>{prose(20, i)}</blockquote>", f"<table><tr><td>{prose(2, i)}</td><td>{prose(3, i)}</td></tr></table>", f"<pre>{prose(9, i)}</pre>"]
-        parts = [(x, False) for i, x in enumerate(before) if (k >> i) & 1 or i == 0] + [(f"<{wrap}>", False)]
-        for i, x in enumerate(body):
-            parts.append((x, True))
+                parts += [(f"<h{2 + k % 3}>{prose(3, i)}</h{2 + k % 3}>", True), (f"<ul><li>{prose(7, i)}</li><li>{prose(5, i + 1)}</li></ul>", True), (f"<blockquote>{prose(20, i)}</blockquote>", True)]
+                parts += [(f"<table><tr><td>{prose(2, i)}</td><td>{prose(3, i)}</td></tr></table>", True), (f"<pre>{prose(9, i)}</pre>", True), ("<div><figure><img></figure></div>" * 3, False)]
+            if (k + i) % 6 == 2:
+                parts.append((f'<p>{prose(9, i)} <a href="/z">{prose(3, i)}</a> {prose(8, i)}</p>', True))
             if (k + i) % 5 == 4:
-                parts.append((f'<div class="advert">{prose(6, i)}</div>', False))
-        pages.append(parts + [(f"</{wrap}>", False)] + [(x, False) for i, x in enumerate(after) if (k >> i) & 1 or i == 3])
+                parts.append((_part(("named", "element")[i % 2], k + 3 * i), False))
+        parts.append((f"</{wrap.split()[0]}>", False))
+        for kind, every in (("plain", 5), ("links", 2), ("named", 3), ("element", 2)):
+            if (k // 3) % every == 0:
+                parts.append((_part(kind, k + 1), False))
+        pages.append(parts + [("</body>", False)])
     return pages
 
 
 @lru_cache(maxsize=1)
-def weights() -> tuple[dict[str, float], dict[str, float], float]:
-    """Log odds of each feature, score of each tag, score of other tags; learnt from the labelled pages."""
-    seen = {True: Counter(), False: Counter()}
+def weights() -> tuple[dict[str, float], float, dict[str, float], float]:
+    """Log odds of each feature, those of a block with none, score of each tag, score of other tags; learnt from the labelled pages."""
+    rows, truth = [], []
     tags = {True: Counter(), False: Counter()}
-    n = Counter()
     for parts in labelled_pages():
-        found, _ = blocks_of("".join(x for x, _ in parts))
-        has = any(b.article for b in found)
+        found, _, names = blocks_of("".join(x for x, _ in parts))
         labels = [main for x, main in parts for _ in blocks_of(x)[0]]
-        for b, main in zip(found, labels, strict=True):
-            n[main] += 1
-            for f in features(b, has):
-                seen[main][f] += 1
-            for t in b.tags:
-                tags[main][t] += 1
-    odds = {f: math.log((seen[True][f] + 0.5) / (n[True] + 1)) - math.log((seen[False][f] + 0.5) / (n[False] + 1)) for f in seen[True] | seen[False]}
-    cost = {t: -0.45 * (tags[False][t] + 1) / (tags[True][t] + tags[False][t] + 2) for t in tags[True] | tags[False]}
-    return odds, cost, -0.25
-
-
-def main_blocks(page: str) -> list[str]:
-    """Blocks of the region of the highest sum; ties take the longer region."""
-    found, _ = blocks_of(page)
-    if not found:
-        return []
-    odds, cost, other = weights()
-    has = any(b.article and not b.apart for b in found)
+        rows += features(found)
+        truth += labels
+        for before, b, main in zip([0, *(b.tags for b in found)], found, labels, strict=False):
+            tags[main].update(names[before : b.tags])
+    names = sorted(set().union(*rows))
+    x = np.array([[f in r for f in names] for r in rows], float)
+    mean, scale, w, bias = fit_dense(x, np.array(truth, float), l2=1e-2)
+    odds = dict(zip(names, (w / scale).tolist(), strict=True))
+    cost = {t: -TAG_COST * (tags[False][t] + 1) / (tags[True][t] + tags[False][t] + 2) for t in tags[True] | tags[False]}
+    return odds, bias - float((w * mean / scale).sum()), cost, -TAG_COST / 2
+
+
+def best_region(words: list[float], tags: list[float]) -> tuple[int, int]:
+    """Start and end of the contiguous run of blocks with the highest sum, by one scan; the empty run if none is positive.
+
+    ``tags[i]`` (not positive) lies between block i - 1 and block i and counts
+    where both are in the run. Ties take the run that ends last and starts first.
+    """
     best = total = 0.0
-    best_range, start = (0, 0), 0
-    for i, b in enumerate(found):
-        if b.apart:
-            continue  # it is left out of any region and so costs none anything
-        lo = sum(odds.get(f, 0.0) for f in features(b, has))
-        total += sum(cost.get(t, other) for t in b.tags[-6:]) if i > start else 0.0
+    found, start = (0, 0), 0
+    for i, score in enumerate(words):
+        total += tags[i] if i > start else 0.0
         if total < 0:
             total, start = 0.0, i
-        total += b.words * math.tanh(lo / 2)
-        if total <= 0:
+        total += score
+        if total < 0:
             total, start = 0.0, i + 1
-        elif total >= best:
-            best, best_range = total, (start, i + 1)
-    region = found[best_range[0] : best_range[1]]
-    return [b.text for b in region if not b.apart and not (has and not b.article)]
+        elif total >= best and total > 0:
+            best, found = total, (start, i + 1)
+    return found
+
+
+def scored(page: str) -> tuple[list[Block], list[float], list[float]]:
+    """The stream of a page: its blocks but those of marked elements with a negative sum, their scores, and those of the tags before each."""
+    found, elements, names = blocks_of(page)
+    odds, bias, cost, other = weights()
+    scores = [b.words * math.tanh((bias + sum(odds.get(f, 0.0) for f in fs)) / 2) for b, fs in zip(found, features(found), strict=True)]
+    sums = np.r_[0.0, np.cumsum(scores)]
+    out = np.zeros(len(found), bool)
+    costs = np.array([cost.get(t, other) for t in names])
+    for e in elements:
+        if sums[e.last] < sums[e.first] and any(x != "name content" for x in e.marks):
+            out[e.first : e.last] = True
+            costs[e.first_tag : e.last_tag] = 0.0
+    kept = [i for i in range(len(found)) if not out[i]]
+    to = np.r_[0.0, np.cumsum(costs)][[found[i].tags for i in kept]] if kept else np.empty(0)
+    return [found[i] for i in kept], [scores[i] for i in kept], np.diff(to, prepend=0.0).tolist()
+
+
+def main_blocks(page: str) -> list[str]:
+    """Blocks of the region of the highest sum."""
+    found, words, tags = scored(page)
+    lo, hi = best_region(words, tags)
+    return [b.text for b in found[lo:hi]]
 
 
 def _texts(batches):
@@ -277,9 +388,10 @@ def _texts(batches):
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every page, from its whole html.
 
-    Null, empty and text-less pages give an empty text. Character references
-    are decoded, white space in a block is one space, blocks are joined by one
-    newline. Rows may repeat; other columns are not read.
+    Null, empty and text-less pages give an empty text, and so do pages without
+    a stretch that scores above nothing. Character references are decoded, white
+    space in a block is one space, blocks are joined by one newline. Rows may
+    repeat; other columns are not read; an empty table gives an empty result.
     """
     kind = pages.schema["page_id"].dataType.simpleString()
     return pages.select("page_id", "url", "html").mapInArrow(_texts, f"page_id {kind}, url string, text string, n_chars long")
