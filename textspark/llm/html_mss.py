@@ -288,6 +288,7 @@ def labelled_pages() -> list[list[tuple[str, bool]]]:
     pages = []
     for k in range(240):
         wrap = ("article", "main", 'div class="content"', "div", "section", 'div class="post tag-menu"', 'div id="print"', "form")[k % 8]
+        whole = wrap == "form"  # a form counts as the page's only where it holds most of it
         parts = [("<body>", False)]
         for kind, every in (("element", 1), ("named", 2), ("role", 7), ("links", 3), ("plain", 4)):
             if (k // 2) % every == 0:
@@ -295,11 +296,11 @@ def labelled_pages() -> list[list[tuple[str, bool]]]:
         if k % 6 == 5 and wrap not in ("article", "main"):
             parts.append((f"<article><h3>{prose(3, k)}</h3><p>{prose(8, k)}</p></article>", False))
         parts.append((f"<{wrap}>", False))
-        if k % 5 != 4:
+        if k % 5 != 4 or whole:
             parts.append((f"<h1>{prose(4 + k % 7, k)}</h1>", True))
-        for i in range(1 + k % 6):
+        for i in range(1 + k % 6 + 3 * whole):
             element = ("p", "p", "p", "div", "td")[(k // 3) % 5]  # some pages lay text out in plain elements
-            parts.append((f"<{element}>{prose((3, 18, 40, 75, 1, 9)[(k + i) % 6], k + i)}</{element}>" if k % 7 else prose(30, i) + "<hr>", True))
+            parts.append((f"<{element}>{prose(75 if whole else (3, 18, 40, 75, 1, 9)[(k + i) % 6], k + i)}</{element}>" if k % 7 else prose(30, i) + "<hr>", True))
             if (k + i) % 4 == 0:
                 parts += [(f"<h{2 + k % 3}>{prose(3, i)}</h{2 + k % 3}>", True), (f"<ul><li>{prose(7, i)}</li><li>{prose(5, i + 1)}</li></ul>", True), (f"<blockquote>{prose(20, i)}</blockquote>", True)]
                 parts += [(f"<table><tr><td>{prose(2, i)}</td><td>{prose(3, i)}</td></tr></table>", True), (f"<pre>{prose(9, i)}</pre>", True), ("<div><figure><img></figure></div>" * 3, False)]
