@@ -230,12 +230,67 @@ def test_quality(spark):
     assert quality.classify(docs.limit(0), labels).count() == 0 and quality.classify(docs, labels.limit(0)).count() == docs.count()
 
 
-def test_sparse_sites_shrink(spark):
-    rows = [("big", "a", 0.9)] * 200 + [("big", "b", 0.1)] * 200 + [("bad", "x", 0.05)] * 300 + [("tiny", "x", 0.01)]
-    got = {(r.host, r.path): r for r in quality.site_rates(spark.createDataFrame(rows, "host string, path string, p_text double")).collect()}
-    corpus = got["tiny", "x"].corpus_rate
-    assert abs(got["big", "a"].path_rate - 0.9) < 0.05 and abs(got["bad", "x"].host_rate - 0.05) < 0.05
-    assert got["tiny", "x"].path_rate > 0.05 and abs(got["tiny", "x"].host_rate - corpus) < 0.35
+def site_rows():
+    rows = [("big", "a", 0.8, int(i % 10 < 9)) for i in range(200)] + [("big", "b", 0.8, int(i % 10 < 2)) for i in range(200)]
+    return rows + [("bad", "x", 0.7, 0)] * 60 + [("tiny", "x", 0.9, 0), ("tiny", "y", 0.9, None), ("new", "z", 0.6, None)]
+
+
+def test_site_rates_by_hand(spark):
+    rows = site_rows()
+    got = quality.with_sites(spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, host string, path string, p_text double, label int")).collect()
+    assert len(got) == len(rows)
+    known = [(i, *r) for i, r in enumerate(rows) if r[3] is not None]
+    corpus = (sum(r[4] for r in known) + 0.5) / (len(known) + 1)
+
+    def strength(groups, mean):
+        n, g = sum(map(len, groups.values())), len(groups)
+        rate = {k: np.mean([r[4] for r in v]) for k, v in groups.items()}
+        spread = sum(len(v) * (rate[k] - mean[k]) ** 2 for k, v in groups.items()) / n
+        flat = np.mean([m * (1 - m) for m in mean.values()])
+        return min(1e6, max(1.0, flat / max(1e-6, spread - flat * g / n) - 1))
+
+    def by(*at):
+        out = {}
+        for r in known:
+            out.setdefault(tuple(r[i] for i in at), []).append(r)
+        return out
+
+    hosts, paths = by(1), by(1, 2)
+    k_host = strength(hosts, {h: corpus for h in hosts})
+    shrunk = lambda part, k, mean: (sum(part) + k * mean) / (len(part) + k)
+    rate = {h: shrunk([r[4] for r in v], k_host, corpus) for h, v in hosts.items()}
+    k_path = strength(paths, {p: rate[p[:1]] for p in paths})
+    for r in got:
+        others = lambda group: [x for x in group if x[0] != r.doc_id]  # noqa: E731, B023
+        h, p = others(hosts.get((r.host,), [])), others(paths.get((r.host, r.path), []))
+        host = [shrunk([x[c] for x in h], k_host, corpus) for c in (4, 3)]
+        path = [shrunk([x[c] for x in p], k_path, m) for c, m in zip((4, 3), host, strict=True)]
+        odds = lambda x: x / (1 - x)
+        score = odds(r.p_text) * odds(path[0]) / odds(path[1])
+        assert abs(r.host_rate - host[0]) < 1e-9 and abs(r.path_rate - path[0]) < 1e-9 and abs(r.path_expected - path[1]) < 1e-9 and abs(r.score - score / (1 + score)) < 1e-9
+
+
+def test_sites_change_verdicts(spark):
+    got = quality.with_sites(spark.createDataFrame([(i, *r) for i, r in enumerate(site_rows())], "doc_id long, host string, path string, p_text double, label int")).collect()
+    kept = lambda host, path: {r.kept for r in got if (r.host, r.path) == (host, path)}
+    assert kept("big", "a") == {True} and kept("bad", "x") == {False} and kept("big", "b") == {False}  # the same chance by the text alone
+    assert kept("tiny", "x") == kept("tiny", "y") == {True} and kept("new", "z") == {True}  # one label does not decide, no label tells nothing
+    assert quality.with_sites(spark.createDataFrame([], "doc_id long, host string, path string, p_text double, label int")).count() == 0
+
+
+def test_quality_held_out(spark):
+    docs, labels = (common.table(spark, "/root/testdata/sf0.01", t) for t in ("documents", "labels"))
+    truth = {r.doc_id: r.quality for r in labels.collect() if r.quality is not None and r.doc_id % 4 == 0}
+    got = {r.doc_id: r.kept for r in quality.classify(docs, labels.where("doc_id % 4 <> 0")).collect()}
+    assert len(truth) > 50 and np.mean([got[i] == bool(q) for i, q in truth.items() if i in got]) > 0.95
+
+
+def test_quality_odd_rows(spark, frame, words):
+    rows = [(1, words(30, 1), "en", "a"), (1, words(30, 1), "en", "a"), (1, None, "en", "a"), (2, "", None, None), (None, "x", "en", "a"), (3, words(90_000, 2), "en", "b"), (4, "| | | |", "en", "a")]
+    labels = spark.createDataFrame([(1, 1, 7), (1, 0, 7), (4, 0, 7), (None, 1, 7), (3, None, 7)], "doc_id long, quality int, host int")
+    got = quality.classify(frame(rows), labels).collect()
+    assert len(got) == len(rows) and all(0 <= r.score <= 1 for r in got)
+    assert quality.good(frame(rows), labels).count() == sum(r.kept for r in got) and quality.good(frame([]), labels).count() == 0
 
 
 def test_pipeline(spark):
