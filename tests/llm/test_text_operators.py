@@ -8,6 +8,7 @@ from collections import Counter
 
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 from textspark.llm import bpe, html_mss, line_rules, pii
 
@@ -65,6 +66,39 @@ def test_terms_inside_values(frame, words):
         assert not any(x in r.text.lower() for x in ("john", "doe", "acme", "555", "7710")), r.text
 
 
+def test_terms_in_a_corpus(spark):
+    """Names planted beside addresses in the shipped documents are found; documents without an entity keep all their words."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    top = docs.agg(F.max("doc_id")).first()[0]
+    texts = [r.text for r in docs.where("text is not null").orderBy("doc_id").limit(60).collect()]
+    plant = [(top + 1 + i, f"{texts[i]} Please ask Zorvath{'abcdefghijkl'[i // 5]} Quillon{'abcdefghijkl'[i // 5]} at person{i // 5}@corp.example.org for {texts[-i - 1]}", "en", "s", 0) for i in range(60)]
+    got = {r.doc_id: r for r in pii.find_spans(docs.union(spark.createDataFrame(plant, docs.schema))).collect()}
+    found = 0
+    for i, text, *_ in plant:
+        spans = [x.split(":") for x in got[i].spans.split(",")]
+        terms = {text[int(a) : int(b)].lower()[:7] for kind, a, b in spans if kind == "term"}
+        found += len(terms & {"zorvath", "quillon"})
+    assert found >= 0.95 * 2 * len(plant)
+    assert not any(r.n_term for r in got.values() if not r.n_spans - r.n_term)
+    assert sum(r.n_term > 0 for i, r in got.items() if i <= top) <= 0.02 * top
+
+
+def test_keys(frame):
+    key = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    rows = [(1, f'token = "{key}" x', "en", "s"), (2, f"{'a' * 40} {'1' * 40} {key[:19]} _{key}", "en", "s"), (3, "a-" * 60_000 + "1", "en", "s")]
+    got = {r.doc_id: r.spans for r in pii.find_spans(frame(rows)).collect()}
+    assert got == {1: "key:9:49", 2: "key:102:143", 3: "key:0:120001"}
+    assert [r.text for r in pii.sanitised(frame(rows[:1])).collect()] == ['token = "[KEY]" x']
+
+
+def test_terms_with_regex_marks(frame, words):
+    rows = [(i, f"{words(5, i)} a\\Eb.c* mail m@x.org {words(5, 50 + i)} a\\Eb.c* {words(12, 70 + i)} axEbxc", "en", "s") for i in range(4)] + [(100 + i, words(40, i), "en", "s") for i in range(200)]
+    for r in pii.find_spans(frame(rows)).where("doc_id < 100").collect():
+        text = dict(x[:2] for x in rows)[r.doc_id]
+        terms = [text[int(a) : int(b)] for kind, a, b in (x.split(":") for x in r.spans.split(",")) if kind == "term"]
+        assert terms.count("a\\Eb.c") == 2 and "axEbxc" not in terms
+
+
 def test_line_rules(frame):
     texts, got = by_id(ODD), line_rules.apply_rules(frame(ODD)).collect()
     assert len(got) == len(ODD)

@@ -1,9 +1,9 @@
 """Information-theoretic sanitisation in DataFrame functions only.
 
-Personal data of four kinds are found by pattern. Each distinct value is a
-protected entity. The corpus then tells which other terms reveal an entity:
-over distinct contexts (``REACH`` words on either side of each mention, equal
-contexts counted once, so copies add nothing)
+Personal data of four kinds, and opaque keys, are found by pattern. Each
+distinct value is a protected entity. The corpus then tells which other terms reveal an entity:
+over distinct contexts (``REACH`` words on either side of each mention, up to
+the next match of its kind; equal contexts counted once, so copies add nothing)
 
     IC(e)    = -log(c(e) / C)                  information of the entity
     PMI(e,t) = log(c(e,t) * C / (c(e) * c(t))) what the term tells of it
@@ -25,22 +25,26 @@ from pyspark.sql import functions as F
 from .common import BREAK_PATTERN, at_most, saved, sized
 
 REACH = 8
-SUPPORT = 3
+SUPPORT = 2
 GENERALISE = 0.8
 REMOVE = 0.95
-#: Code points on either side of a mention in which its context words are looked for.
-REACH_CHARS = 160
+#: Terms whose counts are joined before the words are counted, and rows of spans or terms that may be broadcast.
+TERMS = 200_000
 
 KINDS = ("email", "ip", "card", "phone")
+#: Further protected entities: opaque keys of 20 and more letters and digits, both in them.
+KEY = r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*+[0-9])(?=[0-9_-]*+[A-Za-z])[A-Za-z0-9_-]{20,}+"
 #: Java patterns with the matches of the contract's patterns, leftmost and non-overlapping.
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    "key": KEY,
 }
+ALL = (*KINDS, "key")
 #: What replaces a value or a term is no term itself.
-NOT_A_MARK = r"(?!(?<=\[)(?:EMAIL|IP|CARD|PHONE|NUMBER|TERM)\])"
+NOT_A_MARK = r"(?!(?<=\[)(?:EMAIL|IP|CARD|PHONE|KEY|NUMBER|TERM)\])"
 OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 
 
@@ -98,24 +102,34 @@ def _term(word: Column) -> Column:
     return F.regexp_replace(F.lower(word), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
 
 
-def _contexts(text: Column, kind: str, spans: Column) -> Column:
-    """array<struct<entity, context, terms>> of the mentions of one kind."""
+def _contexts(text: Column, kind: str) -> Column:
+    """array<struct<entity, context, terms>> of the mentions of one kind; a context ends at the next match of the kind."""
+    gaps, values = _pieces(text, PATTERNS[kind])
 
-    def one(s: Column) -> Column:
-        before = _words(F.substring(text, F.greatest(F.lit(1), s["start"] + 1 - REACH_CHARS), F.least(s["start"], F.lit(REACH_CHARS))))
-        after = _words(F.substring(text, s["end"] + 1, F.lit(REACH_CHARS)))
-        near = F.concat(F.slice(before, F.greatest(F.lit(1), F.size(before) - REACH + 1), F.lit(REACH)), F.slice(after, 1, REACH))
+    def one(before: Column, value: Column, after: Column) -> Column:
+        first, last = F.transform(F.array(_words(before)), lambda w: F.slice(w, F.greatest(F.lit(1), F.size(w) - REACH + 1), F.lit(REACH)))[0], F.slice(_words(after), 1, REACH)
+        near = F.concat(first, last)
         terms = F.filter(F.array_distinct(F.transform(near, _term)), lambda t: F.length(t) > 0)
-        value = F.lower(s["value"]) if kind in ("email", "ip") else _digits(s["value"])
-        return F.struct(F.concat_ws(":", F.lit(kind), value).alias("entity"), F.xxhash64(near).alias("context"), terms.alias("terms"))
+        name = F.lower(value) if kind in ("email", "ip") else value if kind == "key" else _digits(value)
+        return F.struct(F.concat_ws(":", F.lit(kind), name).alias("entity"), F.xxhash64(near).alias("context"), terms.alias("terms"))
+
+    def all_of(pieces: Column) -> Column:
+        g, v = pieces["gaps"], pieces["values"]
+        sides = F.zip_with(F.slice(g, F.lit(1), F.size(v)), F.slice(g, F.lit(2), F.size(v)), lambda x, y: F.struct(x.alias("before"), y.alias("after")))
+        rows = F.zip_with(sides, v, lambda x, y: F.struct(x["before"].alias("before"), y.alias("value"), x["after"].alias("after")))
+        return F.transform(F.filter(rows, lambda r: _valid(kind, r["value"])), lambda r: one(r["before"], r["value"], r["after"]))
+
+    return F.transform(F.array(F.struct(gaps.alias("gaps"), values.alias("values"))), all_of)[0]
+
 
-    return F.transform(spans, one)
+NO_CONTEXT = "array<struct<entity:string,context:bigint,terms:array<string>>>"
 
 
 def _found(documents: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
-    rows = documents.select("doc_id", F.xxhash64(text).alias("text_hash"), text.alias("text"), *[base_spans(text, k).alias(k) for k in KINDS])
-    return rows.select("doc_id", "text_hash", *KINDS, F.concat(*[_contexts(F.col("text"), k, F.col(k)) for k in KINDS]).alias("contexts"))
+    rows = documents.select("doc_id", F.xxhash64(text).alias("text_hash"), text.alias("text"), *[base_spans(text, k).alias(k) for k in ALL])
+    contexts = F.concat(*[F.when(F.size(k) > 0, _contexts(F.col("text"), k)).otherwise(F.array().cast(NO_CONTEXT)) for k in ALL])
+    return rows.select("doc_id", "text_hash", *ALL, contexts.alias("contexts"))
 
 
 def disclosing_terms(documents: DataFrame, found: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame | None:
@@ -129,7 +143,9 @@ def disclosing_terms(documents: DataFrame, found: DataFrame, support: int = SUPP
     words = documents.select(_words(F.coalesce("text", F.lit(""))).alias("words"))
     total = words.agg(F.sum(F.size("words").cast("long"))).first()[0]
     wanted = saved(pairs.select("term").distinct(), "terms")
-    counts = words.select(F.explode("words").alias("word")).select(_term(F.col("word")).alias("term")).join(sized(wanted, 200_000), "term").groupBy("term").agg(F.count("*").alias("n_term"))
+    terms = words.select(F.explode("words").alias("word")).select(_term(F.col("word")).alias("term"))
+    few = at_most(wanted, TERMS)
+    counts = (terms.join(F.broadcast(wanted), "term") if few else terms).groupBy("term").agg(F.count("*").alias("n_term"))
     size = F.lit(max(1.0, total / (2 * REACH)))
     pmi = F.log(F.col("n_both") * size / (F.col("n_entity") * F.greatest("n_term", "n_both")))
     information = F.log(size / F.col("n_entity"))
@@ -138,18 +154,18 @@ def disclosing_terms(documents: DataFrame, found: DataFrame, support: int = SUPP
 
 
 def _term_pattern(terms: Column) -> Column:
-    return F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join(F.transform(terms, lambda t: F.concat(F.lit("\\Q"), F.replace(t, F.lit("\\E"), F.lit("")), F.lit("\\E"))), "|"), F.lit(r")(?![\p{L}\p{N}])"))
+    return F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join(F.transform(terms, lambda t: F.concat(F.lit("\\Q"), F.replace(t, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))), "|"), F.lit(r")(?![\p{L}\p{N}])"))
 
 
 def _document_terms(found: DataFrame, disclosing: DataFrame) -> DataFrame:
     """Per document (doc_id, text_hash): the terms that reveal one of its entities, and those to remove."""
     held = found.where("size(contexts) > 0").select("doc_id", "text_hash", F.explode(F.array_distinct(F.transform("contexts", lambda x: x["entity"]))).alias("entity"))
-    shares = held.join(sized(disclosing, 200_000), "entity").groupBy("doc_id", "text_hash", "term").agg(F.max("share").alias("share"))
+    shares = held.join(sized(disclosing, TERMS), "entity").groupBy("doc_id", "text_hash", "term").agg(F.max("share").alias("share"))
     return shares.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list("term")).alias("terms"), F.array_sort(F.collect_list(F.when(F.col("share") >= REMOVE, F.col("term")))).alias("removed"))
 
 
 def find_spans(documents: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame:
-    """One row for each row of ``documents``: doc_id, counts and spans.
+    """One row for each row of ``documents``: doc_id, counts and spans (base kinds, then keys, then terms).
 
     Null texts count as empty. Rows may repeat; a repeated row gets the same
     spans. A null doc_id keeps its base spans and gets no term spans. Other
@@ -163,16 +179,18 @@ def find_spans(documents: DataFrame, support: int = SUPPORT, generalise: float =
     else:
         text = F.coalesce("text", F.lit(""))
         per = _document_terms(found, disclosing)
-        spans = documents.select("doc_id", text.alias("text"), F.xxhash64(text).alias("text_hash")).join(sized(saved(per, "document_terms"), 200_000), ["doc_id", "text_hash"])
+        spans = documents.select("doc_id", text.alias("text"), F.xxhash64(text).alias("text_hash")).join(sized(saved(per, "document_terms"), TERMS), ["doc_id", "text_hash"])
         spans = spans.select("doc_id", "text_hash", matches(F.col("text"), _term_pattern(F.col("terms"))).alias("term")).dropDuplicates(["doc_id", "text_hash"])
-        rows = found.join(sized(saved(spans, "term_spans"), 200_000), ["doc_id", "text_hash"], "left").withColumn("term", F.coalesce("term", none))
+        rows = found.join(sized(saved(spans, "term_spans"), TERMS), ["doc_id", "text_hash"], "left").withColumn("term", F.coalesce("term", none))
     base = F.concat(*[_told(k, F.col(k)) for k in KINDS])
+    more = F.concat(_told("key", F.col("key")), _told("term", F.col("term")))
     return rows.select(
         "doc_id",
         *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS],
         F.sha2(F.array_join(base, ","), 256).alias("base_sha256"),
-        F.array_join(F.concat(base, _told("term", F.col("term"))), ",").alias("spans"),
-        F.size("term").cast("long").alias("n_term"),
+        F.array_join(F.concat(base, more), ",").alias("spans"),
+        *[F.size(k).cast("long").alias(f"n_{k}") for k in ("key", "term")],
+        sum((F.size(k) for k in (*ALL, "term")), F.lit(0)).cast("long").alias("n_spans"),
     )
 
 
@@ -202,8 +220,8 @@ def sanitised(documents: DataFrame, support: int = SUPPORT, generalise: float =
     if disclosing is not None:
         per = saved(_document_terms(found, disclosing), "document_terms").withColumnsRenamed({"doc_id": "_doc_id", "text_hash": "_text_hash", "terms": "_terms", "removed": "_removed"})
         key = F.xxhash64(F.coalesce("text", F.lit("")))
-        rows = documents.join(sized(per, 200_000), (F.col("doc_id") == F.col("_doc_id")) & (key == F.col("_text_hash")), "left")
-    for kind in KINDS:
+        rows = documents.join(sized(per, TERMS), (F.col("doc_id") == F.col("_doc_id")) & (key == F.col("_text_hash")), "left")
+    for kind in ALL:
         rows = rows.withColumn("text", _replaced(F.col("text"), kind))
     if disclosing is not None:
         text, kept = F.col("text"), F.array_except("_terms", "_removed")
