@@ -210,11 +210,11 @@ def test_language(frame):
     rnd = random.Random(4)
     vocabulary = {"en": "the and of to house water going thing with".split(), "de": "der und die haus wasser gehen ding mit schön".split(), "fr": "le et de maison eau aller chose avec été".split()}
     rows = [(i, " ".join(rnd.choice(vocabulary[g]) for _ in range(25)), g, "s") for i, g in enumerate(rnd.choice(list(vocabulary)) for _ in range(300))]
-    rows += [(900, None, "en", "s"), (901, "", "de", "s"), (902, "123 !!", "fr", "s"), (903, "haus und wasser", None, "s"), (None, "le maison", None, "s")]
+    rows += [(900, None, "en", "s"), (901, "", "de", "s"), (902, "123 !!", "fr", "s"), (904, "½ ² ① Ⅳ _ 1", None, "s"), (905, "haus und wasser " * 40_000, None, "s"), (903, "haus und wasser", None, "s"), (903, "haus und wasser", None, "s"), (None, "le maison", None, "s")]
     got = {r.doc_id: r for r in language.identify(frame(rows)).collect()}
     held = [(i, g) for i, _, g, _ in rows[:300] if zlib.crc32(str(i).encode()) % 4 == 2]
     assert all(got[i].held_out for i, _ in held) and np.mean([got[i].lang_pred == g for i, g in held]) > 0.98
-    assert all((got[i].lang_pred, got[i].score, got[i].accepted) == ("und", 0.0, False) for i in (900, 901, 902)) and got[903].lang_pred == "de" and got[None].lang_pred == "fr"
+    assert all((got[i].lang_pred, got[i].score, got[i].accepted) == ("und", 0.0, False) for i in (900, 901, 902, 904)) and got[905].lang_pred == "de" and got[903].lang_pred == "de" and got[None].lang_pred == "fr"
     assert language.identify(frame([])).count() == 0
 
 

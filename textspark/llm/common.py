@@ -19,15 +19,17 @@ BROADCAST_ROWS = 4_000_000
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that the session names; a folder of our own only where it names none."""
+    """The shared folder that the session names; a temporary one only where it names none and all runs on this machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         if found.isDefined():
             root = found.get()
-        else:
+        elif spark.sparkContext.master.split("[")[0] == "local":
             root = "file://" + tempfile.mkdtemp(prefix="textspark-")
             spark.sparkContext.setCheckpointDir(root)
+        else:
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return root.rstrip("/")
 
 

@@ -9,11 +9,11 @@ score a calibrated chance and say which predictions to reject.
 
 from __future__ import annotations
 
-import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +27,8 @@ SAMPLE = 4_000
 HELD_OUT = 2
 #: Wanted share of right answers among those not rejected.
 PRECISION = 0.99
-WORDS = re.compile(r"[^\W\d_]+").findall
+#: Runs of letters; digits, fractions, roman numerals and circled numbers are none.
+WORDS = regex.compile(r"\p{L}+").findall
 
 
 def subwords(word: str) -> np.ndarray:
@@ -137,7 +138,9 @@ def fit(documents: DataFrame, sample: int = SAMPLE) -> Model | None:
     """A model from at most ``sample`` documents with a language outside the held-out fold, those of the smallest hash."""
     pool = documents.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()).where(f"crc32(cast(doc_id as string)) % 4 <> {HELD_OUT}")
     chosen = pool.groupBy("doc_id").agg(F.lit(1).alias("one")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("doc_id")
-    rows = pool.select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id", "left_semi").mapInArrow(_bags, "doc_id long, lang string, i binary, c binary").collect()
+    rows = pool.select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id", "left_semi").mapInArrow(_bags, "doc_id long, lang string, i binary, c binary")
+    # Rows may repeat a doc_id: the sample is bounded in rows as well.
+    rows = rows.distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "lang", "i", "c").limit(sample).collect()
     rows = sorted({(r.doc_id, r.lang, bytes(r.i), bytes(r.c)) for r in rows if r.i})
     if not rows:
         return None
@@ -148,8 +151,9 @@ def identify(documents: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, lang_pred, score, accepted of every row, from its whole text.
 
     Texts that are null or have no letter are ``und`` with a score of 0 and
-    not accepted, and so are all if no row can be learnt from. A null doc_id
-    is not held out. Rows may repeat; other columns are not read.
+    not accepted, and so are all if no row can be learnt from. Ties go to the
+    first language by name. A null doc_id is not held out. Rows may repeat;
+    other columns are not read; an empty table gives an empty result.
     """
     model = documents.sparkSession.sparkContext.broadcast(fit(documents, sample))
 

@@ -14,6 +14,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,7 +48,7 @@ IDENTITY = (
     ("blind", "deaf", "disabled", "autistic"),
 )
 GROUP = {t: g for g in IDENTITY for t in g}
-WORDS = re.compile(r"[^\W\d_]+").findall
+WORDS = regex.compile(r"\p{L}+").findall
 SENTENCES = re.compile(r"(?<=[.!?])\s+|\n").split
 
 
@@ -124,7 +125,9 @@ def train(rows: list[np.ndarray], y: np.ndarray, twins: list[tuple[np.ndarray, n
 def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float]:
     """Weights and bias, from at most ``sample`` labelled documents outside the held-out fold. No labels give a score of 0.5."""
     chosen = labelled_sample(labels, "toxic", sample, f"crc32(cast(doc_id as string)) % 5 <> {HELD_OUT}")
-    rows = documents.where("text is not null").select(F.col("doc_id"), "text").join(F.broadcast(chosen), "doc_id").mapInArrow(_sampled, "doc_id long, x binary, a array<binary>, b array<binary>, label int").collect()
+    rows = documents.where("text is not null").select(F.col("doc_id"), "text").join(F.broadcast(chosen), "doc_id").mapInArrow(_sampled, "doc_id long, x binary, a array<binary>, b array<binary>, label int")
+    # Rows may repeat a doc_id: the sample is bounded in rows as well.
+    rows = rows.distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "x", "label").limit(sample).collect()
     rows.sort(key=lambda r: (r.doc_id, bytes(r.x)))
     twins = [(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)) for r in rows for x, y in zip(r.a, r.b, strict=True)]
     return train([np.frombuffer(r.x, np.uint32) for r in rows], np.array([r.label for r in rows], float), twins)
@@ -134,7 +137,9 @@ def score(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Data
     """doc_id, held_out, score, predicted of every row; ``score`` looks at the text only.
 
     Null and empty texts have the score of no words. A null doc_id is not held
-    out. Rows may repeat; other columns are not read.
+    out. Rows may repeat; other columns are not read; an empty table gives an
+    empty result. The model's bounds: ``sample`` labelled rows with all their
+    swapped sentences, and the ``FEATURES`` words that tell the classes apart best.
     """
     w, bias = fit(documents, labels, sample)
     model = documents.sparkSession.sparkContext.broadcast((w.astype(np.float32), bias))
