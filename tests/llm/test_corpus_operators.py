@@ -139,6 +139,35 @@ def test_shards(frame, words):
     assert next(r for r in got if r.doc_id is None).size == 1 and sharding.shard(frame([])).count() == 0
 
 
+def test_sharding_row_by_row(frame, words, monkeypatch):
+    """Each row alone goes to the first node clockwise from its cell whose shard has room; ties, copies, null ids and long texts among them."""
+    monkeypatch.setattr(sharding, "CELLS", 64)
+    rows = [(i * 37 % 1009, words(i % 9, i), "en", "s") for i in range(700)] + [(5, "same", "en", "s")] * 250 + [(None, None, "en", "s")] * 30 + [(6, words(60_000, 1), "en", "s"), (6, "", "en", "s")]
+    docs = frame(rows).coalesce(1)
+    got = sharding.shard(docs, shards=5, virtual_nodes=7).collect()
+    placed = docs.selectExpr("pmod(xxhash64(doc_id), 64) c", "xxhash64(doc_id, 1) h", "doc_id", "crc32(encode(text, 'UTF-8')) crc", "coalesce(octet_length(text), 0) + 1 size").collect()
+    nodes = sharding.ring(5, 7, 16384)
+    assert sorted(nodes) == nodes
+    low = lambda x: (x is not None, x or 0)  # noqa: E731, nulls first
+    room, used, expected = [len(rows) // 5 + (s < len(rows) % 5) for s in range(5)], [0] * 5, []
+    for r in sorted(placed, key=lambda r: (r.c, r.h, low(r.doc_id), low(r.crc), r.size)):
+        turn = [n for n in nodes if n[0] >= r.c] + [n for n in nodes if n[0] < r.c]
+        shard = next(s for _, s in turn if used[s] < room[s])
+        expected.append((r.doc_id, r.size, r.crc, shard, used[shard]))
+        used[shard] += 1
+    key = lambda t: tuple(low(x) for x in t)
+    assert sorted(expected, key=key) == sorted([(r.doc_id, r.size, r.text_crc32, r.shard, r.slot) for r in got], key=key)
+
+
+def test_one_hot_key_is_ranked_in_parts(spark):
+    docs = spark.range(4000).selectExpr("if(id % 3 = 0, 7, id) doc_id", "'t' text").repartition(16)
+    got = sharding.shard(docs).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.shard, []).append(r.slot)
+    assert len(got) == 4000 and all(sorted(v) == list(range(250)) for v in by.values()) and len(by) == 16
+
+
 def test_ring_moves_little():
     rnd = random.Random(1)
     counts = {c: rnd.randint(5, 9) for c in range(sharding.CELLS)}
