@@ -22,7 +22,6 @@ import base64
 import hashlib
 import heapq
 import re
-from array import array
 from functools import lru_cache
 from itertools import chain
 
@@ -30,18 +29,19 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
+import xxhash
 from pyspark.sql import DataFrame
 
 from .common import Kept, focus, keeps
 
 #: Byte strings up to this length are merged directly.
 LEAF = 4
-#: Short byte strings, pairs of tokens and stretches of text of which a worker keeps what was found, twice as many at most; the longest (bytes, code points).
-KEPT_LEAVES = 50_000
-KEPT_PAIRS = 100_000
-KEPT_STRETCHES = 100_000
+#: Short byte strings and pairs of tokens of which a worker keeps what was found, twice as many at most, and the longest string (bytes).
+KEPT_LEAVES = 40_000
+KEPT_PAIRS = 60_000
 KEPT_BYTES = 16
-KEPT_LENGTH = 48
+#: Stretches of text in one generation of those whose ids a worker keeps.
+KEPT_STRETCHES = 250_000
 #: Bytes of text that are worked on at a time; a longer text is a lot of its own.
 LOT_BYTES = 2 << 20
 #: Ids that a leaf of the decoding tree concatenates at once.
@@ -52,6 +52,66 @@ BESIDE_SPACE = rf"{SPACES}\x20|\x20{SPACES}"
 LONE_SPACE = re.compile(r"(?<=\S)\x20(?=\S)").split
 
 
+class Encodings:
+    """Ids of the stretches met lately, by two 64-bit hashes of each: sorted arrays, about 35 bytes a stretch, in two generations."""
+
+    def __init__(self, make):
+        self.make = make
+        self.clear()
+
+    def clear(self) -> None:
+        self.tables = [self._empty(), self._empty()]
+
+    @staticmethod
+    def _empty() -> tuple[np.ndarray, ...]:
+        none = np.empty(0, np.uint64)
+        return none, none, np.zeros(1, np.int64), np.empty(0, np.int32)  # hashes, second hashes, where the ids begin, ids
+
+    @staticmethod
+    def _find(table: tuple[np.ndarray, ...], h: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(table[0]):
+            return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
+        at = np.minimum(np.searchsorted(table[0], h), len(table[0]) - 1)
+        return at, (table[0][at] == h) & (table[1][at] == g)
+
+    def ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of each of the distinct ``words`` begin and, on end, end; and the ids."""
+        h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+        g = np.fromiter((xxhash.xxh3_64_intdigest(w, 1) for w in words), np.uint64, len(words))
+        at, hit = self._find(self.tables[0], h, g)
+        before, late = self._find(self.tables[1], h, g)
+        late &= ~hit
+        new = np.flatnonzero(~hit & ~late)
+        made = [self.make(words[i]) for i in new.tolist()]
+        sizes = np.zeros(len(words), np.int64)
+        sizes[hit] = np.diff(self.tables[0][2])[at[hit]]
+        sizes[late] = np.diff(self.tables[1][2])[before[late]]
+        sizes[new] = np.fromiter(map(len, made), np.int64, len(made))
+        begin = np.r_[0, np.cumsum(sizes)]
+        out = np.empty(int(begin[-1]), np.int32)
+        for rows, table, where in ((hit, self.tables[0], at), (late, self.tables[1], before)):
+            out[_ranges(begin[:-1][rows], sizes[rows])] = table[3][_ranges(table[2][where[rows]], sizes[rows])]
+        out[_ranges(begin[new], sizes[new])] = np.fromiter(chain.from_iterable(made), np.int32, int(sizes[new].sum()))
+        self._add(h, g, begin, sizes, out, np.flatnonzero(~hit))
+        return begin, out
+
+    def _add(self, h, g, begin, sizes, out, rows) -> None:
+        if len(self.tables[0][0]) + len(rows) > KEPT_STRETCHES:
+            self.tables = [self._empty(), self.tables[0]]
+        old = self.tables[0]
+        every_h, every_g = np.concatenate([old[0], h[rows]]), np.concatenate([old[1], g[rows]])
+        first, size = np.concatenate([old[2][:-1], begin[rows] + len(old[3])]), np.concatenate([np.diff(old[2]), sizes[rows]])
+        order = np.argsort(every_h, kind="stable")
+        ids = np.concatenate([old[3], out])[_ranges(first[order], size[order])]
+        self.tables[0] = every_h[order], every_g[order], np.r_[0, np.cumsum(size[order])], ids
+
+
+def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers ``first[k]`` to ``first[k] + size[k] - 1`` of each k, on end."""
+    ends = np.cumsum(size)
+    return np.repeat(first - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
 class ByteBpe:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
@@ -62,7 +122,7 @@ class ByteBpe:
         self._merged = Kept(self._merge, KEPT_LEAVES)
         self._pairs = Kept(self._stable, KEPT_PAIRS)
         self._halves = Kept(self._by_halves, KEPT_LEAVES)
-        self._stretches = Kept(self._cut, KEPT_STRETCHES)
+        self._stretches = Encodings(self._cut)
         # The bytes of each id, and each id as text after a space, for joining many at once.
         self.data = pa.array(self.bytes_of, pa.large_binary())
         self.shown = pa.array([f" {i}" for i in range(len(self.bytes_of))], pa.large_string())
@@ -158,15 +218,12 @@ class ByteBpe:
             return self.join(self._halves[data[:half]], self._halves[data[half:]])
         return self.join(self._by_halves(data[:half]), self._by_halves(data[half:]))
 
-    def _cut(self, text: str) -> bytes:
+    def _cut(self, text: str) -> list[int]:
+        """Ids of a stretch that no piece of the pattern leaves."""
         ids: list[int] = []
         for piece in self.cut(text):
             ids += self._by_halves(piece.encode("utf-8", "replace"))
-        return array("i", ids).tobytes()
-
-    def stretch(self, text: str) -> bytes:
-        """Ids, as int32, of a stretch that no piece of the pattern leaves."""
-        return self._stretches[text] if len(text) <= KEPT_LENGTH else self._cut(text)
+        return ids
 
     def encode_lot(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts (no nulls) on end, and where each text's begin; one more at the end.
@@ -195,15 +252,10 @@ class ByteBpe:
         place = np.zeros(len(met), np.int64)
         place[used] = np.arange(len(used))
         words = found.dictionary.take(pa.array(used >> 1)).to_pylist()
-        ids = [self.stretch(" " + w if c else w) for w, c in zip(words, (used & 1).tolist(), strict=True)]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
-        flat = np.frombuffer(b"".join(ids), np.int32)
+        begin, ids = self._stretches.ids([" " + w if c else w for w, c in zip(words, (used & 1).tolist(), strict=True)])
         code = place[code]
-        n = sizes[code]
-        ends = np.cumsum(n)
-        first = (np.cumsum(sizes) - sizes)[code]
-        out = flat[np.repeat(first - (ends - n), n) + np.arange(int(n.sum()))]
-        return out, np.r_[0, ends][at - at[0]]
+        n = np.diff(begin)[code]
+        return ids[_ranges(begin[code], n)], np.r_[0, np.cumsum(n)][at - at[0]]
 
     def encode(self, text: str) -> list[int]:
         return self.encode_lot(pa.array([text]))[0].tolist()

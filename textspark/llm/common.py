@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -79,12 +83,22 @@ def keeps(operator: str, *caches) -> None:
     _kept.setdefault(operator, []).extend(caches)
 
 
+_last: list[str] = []
+
+
 def focus(operator: str) -> None:
     """Drops what other operators have kept in this worker, so that a pipeline's memory is that of one stage."""
+    if _last == [operator]:
+        return
+    _last[:] = [operator]
     for name, caches in _kept.items():
         if name != operator:
             for c in caches:
                 c.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # a C library without this call
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 class Kept(dict):

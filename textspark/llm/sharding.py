@@ -32,7 +32,7 @@ VIRTUAL_NODES = 128
 #: Parts of the table by which the rows of a cell are ranked.
 PARTS_OF_CELL = 256
 #: Counts of cells by part that may be broadcast (16 bytes each); beyond that they are joined in a shuffle.
-PARTS = 500_000
+PARTS = 100_000
 
 
 def ring(shards: int, virtual_nodes: int = VIRTUAL_NODES, cells: int = CELLS) -> list[tuple[int, int]]:
