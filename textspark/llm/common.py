@@ -96,9 +96,12 @@ def focus(operator: str) -> None:
             for c in caches:
                 c.clear()
     gc.collect()
-    pa.default_memory_pool().release_unused()
-    with contextlib.suppress(OSError, AttributeError):  # a C library without this call
-        ctypes.CDLL(None).malloc_trim(0)
+    # Large buffers go back to the system as soon as they are free.
+    pa.set_memory_pool(pa.system_memory_pool())
+    with contextlib.suppress(OSError, AttributeError):  # a C library without these calls
+        libc = ctypes.CDLL(None)
+        libc.mallopt(-3, 1 << 20)
+        libc.malloc_trim(0)
 
 
 class Kept(dict):
