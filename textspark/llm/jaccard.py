@@ -10,8 +10,9 @@ shingles. The join is exact:
    the same in both. Each range is a tile key. Tile rows are (key, doc_id),
    gathered before the shuffle for each batch, sorted, and read as a stream:
    no tile is held in memory.
-3. *Stars.* Every member of a tile is paired with the tile's smallest and
-   largest id: pairs are linear in tile rows, however hot a tile is.
+3. *Stars.* Every member of a tile is paired with one of it, drawn by a hash;
+   then those of other components with another one. Pairs are linear in tile
+   rows, however hot a tile is.
 4. *Bitmaps.* A parity bitmap as wide as the band asks gives
    ``|A ^ B| >= popcount(bits_a ^ bits_b)``, a bound on the overlap from above.
 5. *Intersection.* What remains is decided on the sorted arrays.
@@ -45,6 +46,8 @@ MAX_BAND = 80
 KEYS = 250_000
 #: Pairs that a task gathers before it passes them on; repeats go in the shuffle.
 PAIRS = 200_000
+#: Lowest mixed tiles of a document that go with its rows in the last step.
+LOWEST = 8
 
 
 @dataclass(frozen=True)
@@ -87,7 +90,7 @@ def make_bands(num: int, den: int) -> Bands:
         lower.append(low)
         differ.append(d)
         ranges.append(k)
-        bits.append(1 << max(8, (4 * d).bit_length()))
+        bits.append(1 << max(8, (8 * d).bit_length()))
         low = top + 1
         if low > 1 << 40:
             break
@@ -277,8 +280,12 @@ def _linked(num: int, den: int):
     return test
 
 
-def _pairs_of(block, doc, label, n, bits, left, right, num, den):
-    """Pairs of two blocks of a tile that are of different components and pass the bitmap bound."""
+def _pairs_of(tile, block, doc, label, n, bits, lowest, left, right, num, den):
+    """Pairs of two blocks of a tile that are of different components and pass the bitmap bound.
+
+    A pair of which a lower tile is known that holds both is left to that tile:
+    the lowest tile that two sets share always gives their pair.
+    """
     width = min(map(len, bits))
     flat = np.stack([fold(np.frombuffer(x, np.uint8), width) for x in bits])
     words = np.ascontiguousarray(flat).view(np.uint64)
@@ -289,6 +296,9 @@ def _pairs_of(block, doc, label, n, bits, left, right, num, den):
         if len(maybe):
             least = np.bitwise_count(words[maybe] ^ words[i]).sum(1, dtype=np.int64)
             maybe = maybe[least * (num + den) <= (den - num) * (n[maybe] + n[i])]
+            known = lowest[i][lowest[i] < tile]
+            if len(known) and len(maybe):
+                maybe = maybe[~np.isin(lowest[maybe], known).any(1)]
             if len(maybe):
                 yield np.minimum(doc[maybe], doc[i]), np.maximum(doc[maybe], doc[i])
 
@@ -321,10 +331,11 @@ def _block_pairs(bands: Bands):
         work.kept = int(ends[-1]) if len(ends) else 0
         block, doc, label, n = (t.column(c).to_numpy() for c in ("block", "doc_id", "label", "n"))
         bits = t.column("bits").slice(0, work.kept).to_pylist()
+        lowest = np.stack([t.column(f"low{i}").to_numpy() for i in range(LOWEST)], 1)
         out, held = [], 0
         for lo, hi in zip(starts, ends, strict=True):
             if (label[lo:hi] != label[lo]).any():
-                for pair in _pairs_of(block[lo:hi], doc[lo:hi], label[lo:hi], n[lo:hi], bits[lo:hi], *key[lo, 1:], num, den):
+                for pair in _pairs_of(key[lo, 0], block[lo:hi], doc[lo:hi], label[lo:hi], n[lo:hi], bits[lo:hi], lowest[lo:hi], *key[lo, 1:], num, den):
                     out.append(pair)
                     held += len(pair[0])
                     if held >= PAIRS:
@@ -374,6 +385,12 @@ def _verified(docs: DataFrame, pairs: DataFrame, n: int, num: int, den: int) ->
     return links
 
 
+def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows (tile, size) of tiles that hold several components."""
+    rows = members.join(labels, "doc_id", "left").select("tile", F.coalesce("component", "doc_id").alias("label"))
+    return rows.groupBy("tile").agg(F.count("*").alias("size"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("tile", "size")
+
+
 def jaccard_components(documents: DataFrame, n: int = 3, num: int = 90, den: int = 100, stars: int = 2) -> DataFrame:
     """One row for each row of ``documents`` (doc_id, text): doc_id, n_shingles, component_id.
 
@@ -416,10 +433,13 @@ def jaccard_components(documents: DataFrame, n: int = 3, num: int = 90, den: int
         labels = components(links)
         dropped(pairs)
     rows = members.join(labels, "doc_id", "left").select("tile", "doc_id", F.coalesce("component", "doc_id").alias("label"))
-    mixed = rows.groupBy("tile").agg(F.count("*").alias("size"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    mixed = _mixed(members, labels).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
     rows = rows.join(mixed.select("tile", "blocks"), "tile").withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
-    rows = rows.join(bits, "doc_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("tile", "doc_id", "label", "n", "bits", "block", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"))
+    # A document has no more tiles than its band has ranges.
+    low = rows.groupBy("doc_id").agg(F.sort_array(F.collect_list("tile")).alias("low"))
+    low = low.select("doc_id", *[F.coalesce(F.try_element_at("low", F.lit(i + 1)), F.lit((1 << 63) - 1)).alias(f"low{i}") for i in range(LOWEST)])
+    rows = rows.join(bits.join(low, "doc_id"), "doc_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("tile", "doc_id", "label", "n", "bits", *[f"low{i}" for i in range(LOWEST)], "block", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"))
     pairs = saved(rows.repartition("tile", "left", "right").sortWithinPartitions("tile", "left", "right").mapInArrow(_block_pairs(bands), "a long, b long").distinct(), "pairs")
     more = _verified(known, pairs, n, num, den)
     found = components(labels.select(F.col("doc_id").alias("a"), F.col("component").alias("b")).unionByName(more))
@@ -428,7 +448,11 @@ def jaccard_components(documents: DataFrame, n: int = 3, num: int = 90, den: int
 
 
 def one_of_each(documents: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """``documents`` without those whose group has a smaller doc_id; rows with a null doc_id stay."""
+    """``documents`` without those whose group has a smaller doc_id.
+
+    Null and empty texts link with nothing and stay, and so do rows with a null
+    doc_id and rows that repeat the doc_id that stays. All columns are kept.
+    """
     found = jaccard_components(documents, n, num, den)
     gone = saved(found.where("component_id < doc_id").select("doc_id").distinct(), "gone")
     return documents.join(sized(gone), "doc_id", "left_anti").select(*documents.columns)
