@@ -141,12 +141,8 @@ def window_hashes(h: np.ndarray, n: int) -> np.ndarray:
     return x
 
 
-_cache = Kept(xxhash.xxh3_64_intdigest)
-keeps("words", _cache)
-
-
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_cache.__getitem__, words), np.uint64, len(words))
+    return np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, words)), ">u8").astype(np.uint64)
 
 
 def shingle_set(text: str | None, n: int) -> np.ndarray:
