@@ -9,28 +9,28 @@ from textspark.llm.common import saved, table
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier does not reject."""
+    """Documents that the quality classifier does not reject; null and empty texts are judged as texts of no words."""
     return quality.good(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group at five words and a similarity of 0.8."""
+    """One document of each group at five words and a similarity of 0.8; null and empty texts and null ids stay."""
     return jaccard.one_of_each(docs, n=5, num=80, den=100)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item, whatever values its slots have."""
+    """Documents that hold no benchmark item, whatever values its slots have; null and empty texts and null ids stay."""
     return decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def without_private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data and the terms that reveal it replaced."""
+    """All documents, personal data and the terms that reveal it replaced; null texts stay null."""
     return pii.sanitised(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of every document that is left."""
-    return bpe.round_trip(docs)
+    """Token counts and digests of every document that is left; null and empty texts have none. Workers keep little, as the executors still hold what the stages before left."""
+    return bpe.round_trip(docs, keep=200_000)
 
 
 STAGES = [

@@ -36,12 +36,10 @@ from .common import Kept, focus, keeps
 
 #: Byte strings up to this length are merged directly.
 LEAF = 4
-#: Short byte strings and pairs of tokens of which a worker keeps what was found, twice as many at most, and the longest string (bytes).
-KEPT_LEAVES = 40_000
-KEPT_PAIRS = 60_000
+#: The longest string whose direct merges are kept (bytes).
 KEPT_BYTES = 16
-#: Stretches of text in one generation of those whose ids a worker keeps.
-KEPT_STRETCHES = 250_000
+#: Stretches of text in one generation of those whose ids a worker keeps (35 bytes each); a fifth as many short byte strings, and a third as many pairs of tokens, are kept too.
+KEPT = 500_000
 #: Bytes of text that are worked on at a time; a longer text is a lot of its own.
 LOT_BYTES = 2 << 20
 #: Ids that a leaf of the decoding tree concatenates at once.
@@ -55,8 +53,8 @@ LONE_SPACE = re.compile(r"(?<=\S)\x20(?=\S)").split
 class Encodings:
     """Ids of the stretches met lately, by two 64-bit hashes of each: sorted arrays, about 35 bytes a stretch, in two generations."""
 
-    def __init__(self, make):
-        self.make = make
+    def __init__(self, make, limit: int):
+        self.make, self.limit = make, limit
         self.clear()
 
     def clear(self) -> None:
@@ -96,9 +94,9 @@ class Encodings:
         return begin, out
 
     def _add(self, h, g, begin, sizes, out, rows) -> None:
-        if len(self.tables[0][0]) + len(rows) > KEPT_STRETCHES:
+        if len(self.tables[0][0]) + len(rows) > self.limit:
             self.tables = [self._empty(), self.tables[0]]
-        old = self.tables[0]
+        old, rows = self.tables[0], rows[np.argsort(h[rows])]  # two sorted runs: the stable sort merges them
         every_h, every_g = np.concatenate([old[0], h[rows]]), np.concatenate([old[1], g[rows]])
         first, size = np.concatenate([old[2][:-1], begin[rows] + len(old[3])]), np.concatenate([np.diff(old[2]), sizes[rows]])
         order = np.argsort(every_h, kind="stable")
@@ -119,16 +117,23 @@ class ByteBpe:
         for token, rank in ranks.items():
             self.bytes_of[rank] = token
         self.cut = regex.compile(pattern).findall
-        self._merged = Kept(self._merge, KEPT_LEAVES)
-        self._pairs = Kept(self._stable, KEPT_PAIRS)
-        self._halves = Kept(self._by_halves, KEPT_LEAVES)
-        self._stretches = Encodings(self._cut)
+        self._merged = Kept(self._merge)
+        self._pairs = Kept(self._stable)
+        self._halves = Kept(self._by_halves)
+        self._stretches = Encodings(self._cut, KEPT)
+        self.keep(KEPT)
         # The bytes of each id, and each id as text after a space, for joining many at once.
         self.data = pa.array(self.bytes_of, pa.large_binary())
         self.shown = pa.array([f" {i}" for i in range(len(self.bytes_of))], pa.large_string())
         self.data_size = np.fromiter(map(len, self.bytes_of), np.int64, len(self.bytes_of))
         self.shown_size = np.char.str_len(np.arange(len(self.bytes_of)).astype(str)).astype(np.int64) + 1
 
+    def keep(self, stretches: int) -> None:
+        """Sets how much is kept; what is found does not depend on it."""
+        self._stretches.limit = stretches
+        self._merged.limit = self._halves.limit = stretches // 5
+        self._pairs.limit = stretches // 3
+
     def clear(self) -> None:
         """Drops what has been kept; the vocabulary stays."""
         for kept in (self._stretches, self._halves, self._merged, self._pairs):
@@ -345,9 +350,10 @@ def _digests(data: bytes, ends: np.ndarray, skip: int) -> list[str]:
     return out
 
 
-def round_trip(documents: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
+def round_trip(documents: DataFrame, path: str | None = None, pattern: str | None = None, keep: int = KEPT) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256, encoded and decoded in one pass over the texts.
 
+    ``keep`` bounds the memory of a worker (``ByteBpe.keep``), not the result.
     Null and empty texts have no ids and the digests of nothing. Rows may
     repeat and are each encoded; other columns are not read; an empty table
     gives an empty result.
@@ -356,6 +362,7 @@ def round_trip(documents: DataFrame, path: str | None = None, pattern: str | Non
     def run(batches):
         focus("bpe")
         bpe = loaded(*((path, pattern) if path else default_vocabulary()))
+        bpe.keep(keep)
         for b in batches:
             for lo, hi in lots(b.column(1)):
                 ids, at = bpe.encode_lot(pc.fill_null(b.column(1).slice(lo, hi - lo), ""))
