@@ -9,6 +9,7 @@ tables are table functions.
 from __future__ import annotations
 
 from decimal import Decimal
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,8 +78,14 @@ def pointer_get(text, pointer: str | Column, options: JsonParseOptions = JsonPar
     return strict("string", lambda t, q: _opt(J.point(J.parse(t, options), q, compat)), text, p)["value"]
 
 
+@lru_cache(maxsize=16)
+def _known(text: str, options: JsonParseOptions):
+    """A parsed patch, the same for all rows of a literal one; patches are read and never changed."""
+    return J.parse(text, options)
+
+
 def patch_result(text, patch, options: JsonParseOptions = JsonParseOptions()) -> Column:
-    return strict("string", lambda t, p: _text(J.patch(J.parse(t, options), J.parse(p, options))), text, patch)
+    return strict("string", lambda t, p: _text(J.patch(J.parse(t, options), _known(p, options))), text, patch)
 
 
 def patch(text, patch, options: JsonParseOptions = JsonParseOptions()) -> Column:
@@ -86,7 +93,7 @@ def patch(text, patch, options: JsonParseOptions = JsonParseOptions()) -> Column
 
 
 def merge_patch(text, patch, options: JsonParseOptions = JsonParseOptions()) -> Column:
-    return strict("string", lambda t, p: _text(J.merge_patch(J.parse(t, options), J.parse(p, options))), text, patch)["value"]
+    return strict("string", lambda t, p: _text(J.merge_patch(J.parse(t, options), _known(p, options))), text, patch)["value"]
 
 
 def object_merge_result(a, b, policy: str = "LAST_WINS", options: JsonParseOptions = JsonParseOptions()) -> Column:
