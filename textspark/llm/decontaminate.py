@@ -78,7 +78,7 @@ def word_form(word: str) -> int:
     return form << 2 | name << 1 | (word.rstrip("\"')]}”’»")[-1:] in (".", "!", "?"))
 
 
-_words = Kept(word_form)
+_words = Kept(word_form, 200_000)
 keeps("templates", _words)
 
 
