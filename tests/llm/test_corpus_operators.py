@@ -6,6 +6,7 @@ import sys
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from textspark.llm import common, decontaminate, jaccard, language, quality, sharding, toxicity
@@ -339,3 +340,27 @@ def test_pipeline(spark):
     assert pii.find_spans(now).where("n_email + n_ip + n_card + n_phone > 0").count() == 0
     got = P.STAGES[-1][1](spark, now, SF).collect()
     assert len(got) == counts[-1] and len(got) == P.run(spark, SF).count()
+
+
+def test_pipeline_batches(spark, frame):
+    """Stages with Python workers get wide rows in small batches, all of them; a lower limit stays."""
+    import corpus_pipeline as P
+
+    def sizes(batches):
+        for b in batches:
+            yield b.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], ["n", "size"])
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    wide = spark.range(0, 3_000, 1, 1).selectExpr("id as doc_id", "repeat('x', if(id = 7, 6000000, 8000)) as text")
+    try:
+        for stage in ("good_quality", "near_duplicates", "without_benchmark", "tokens"):
+            spark.conf.set(name, before)
+            dict(P.STAGES)[stage](spark, frame([]), SF)
+            got = wide.mapInArrow(sizes, "n long, size long").collect()
+            assert sum(r.n for r in got) == 3_000 and max(r.size for r in got if r.n > 1) < 2 * common.BATCH_BYTES + 6_000_000, stage
+        spark.conf.set(name, "1m")
+        common.small_batches(spark)
+        assert spark.conf.get(name).startswith(("1m", "1048576"))
+    finally:
+        spark.conf.set(name, before)

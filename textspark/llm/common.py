@@ -20,6 +20,8 @@ WORD_BREAKS = " \t\n\x0b\x0c\r"
 BREAK_PATTERN = r"[\x20\x09-\x0D]+"
 #: Rows of one long that may be broadcast (32 MB); above it joins shuffle.
 BROADCAST_ROWS = 4_000_000
+#: Bytes of rows that the pipeline lets Spark hand to a Python worker at a time; a longer row is a batch of its own.
+BATCH_BYTES = 4 << 20
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -75,6 +77,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session's Arrow batches hold about ``BATCH_BYTES``; a lower limit of the session stays.
+
+    An executor holds the batches of all its tasks, in the JVM and again in the
+    workers. Frames read the limit when they run, so it is not set back.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 #: What each operator keeps in a Python worker between tasks; anything with ``clear``.
 _kept: dict[str, list] = {}
 
